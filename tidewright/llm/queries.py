@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import mentions
+from tidewright.llm import mentions, pii
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -15,5 +15,24 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return mentions.repeated_mentions(read(spark, sf, "discovered_citations"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+#: Of the test queries only: in production the key comes from the caller's secret store.
+TEST_KEY = b"test key of the redaction queries"
+
+
+def _p3_texts(spark: SparkSession, sf: str):
+    names = pii.given_name_set(read(spark, sf, "given_names"))
+    return pii.texts_with_pii(read(spark, sf, "reddit_posts"), read(spark, sf, "discovered_citations")), names
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows, names = _p3_texts(spark, sf)
+    return pii.occurrences(rows, ["record_table", "record_key"], "text", names).select("record_table", "record_key", "pii_type", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    rows, names = _p3_texts(spark, sf)
+    return pii.redacted(rows, "text", names, TEST_KEY)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted)}
 ORACLES: dict[str, str] = {}
