@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewright.llm import mentions, pii
+from tidewright.llm import mentions, mixing, packing, pii
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -34,5 +34,32 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(rows, "text", names, TEST_KEY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted)}
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = packing.document_sizes(read(spark, sf, "documents"))
+    return packing.pack(packing.items_of(sizes, packing.pack_settings(read(spark, sf, "size_settings"))))
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.containers(_packed(spark, sf))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packing_report(packing.materialize(_packed(spark, sf), "packed"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    sized = docs.select("doc_id", "source", packing.token_count(F.col("text")).alias("tokens"))
+    return mixing.mix(packing.materialize(sized, "sizes"), read(spark, sf, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, sf), read(spark, sf, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p6_containers, p6_report, p7_selection, p7_shares)}
 ORACLES: dict[str, str] = {}
