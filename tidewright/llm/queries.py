@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewright.llm import mentions, mixing, packing, pii
+from tidewright.llm import mentions, mixing, packing, pii, splitting
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -61,5 +61,9 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf), read(spark, sf, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p6_containers, p6_report, p7_selection, p7_shares)}
+def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_documents(read(spark, sf, "documents"), splitting.split_settings(read(spark, sf, "size_settings")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p6_containers, p6_report, p7_selection, p7_shares, p8_pieces)}
 ORACLES: dict[str, str] = {}
