@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import problems
+from tidewright.plans import problems, routing
 
-MODULES = [problems]
+MODULES = [problems, routing]
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracles():
 
 
 def flagship(spark, sf):
-    return problems.p2_found(spark, sf)
+    return routing.stm05_resolve(spark, sf)
