@@ -27,11 +27,9 @@ SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?=\s)\s*|[。！？]|
 LONG = 16  # a stretch of more tokens is cut into shorter ones before anything else
 
 
-def _atoms(text: str, tok: Tokenizer, marks: list[int]) -> tuple[list[int], list[int], bool]:
+def _atoms(text: str, tok: Tokenizer, stretches: list[str], counts: list[int], marks: list[int]) -> tuple[list[int], list[int], bool]:
     """Starts (with the end of the text) and token counts of the shortest stretches that are kept whole; whether stretches of the pattern had
     to be cut, so that sums of counts are no longer exact. They are cut at marks inside them, and where they have more than LONG tokens."""
-    stretches = tok.stretches(text)
-    counts = tok.counts(stretches)
     starts = list(accumulate(map(len, stretches), initial=0))
     inside = {}
     for p in marks:
@@ -84,11 +82,12 @@ class Splitter:
         """
         if limit - overlap <= 2 * LONG:
             raise ValueError("the limit must exceed the overlap by more than 32 tokens")
-        if self.text != text:
-            self._prepare(text)
-        starts, counts = self.starts, self.counts
+        self.read(text)
         if self.total <= limit:
             return [(0, len(text), self.total, 0)] if text else []
+        if self.starts is None:
+            self._prepare()
+        starts, counts = self.starts, self.counts
         room = limit - overlap - LONG
         bounds = [i for i, _ in self._units(0, len(counts), 0, room)]
         bounds.append(len(counts))
@@ -112,12 +111,20 @@ class Splitter:
             shared = self.exact(begin, end)
         return out
 
-    def _prepare(self, text: str) -> None:
-        self.text = text
-        self.total = self.tok.count(text)
+    def read(self, text: str) -> int:
+        """The size of a text; what was found out about the text before is forgotten, unless it is the same."""
+        if self.text != text:
+            self.text, self.starts = text, None
+            self.stretches = self.tok.stretches(text)
+            self.counted = self.tok.counts(self.stretches)
+            self.total = sum(self.counted)
+        return self.total
+
+    def _prepare(self) -> None:
+        text = self.text
         sections = [m.start() for m in SECTION.finditer(text)]
         paragraphs, sentences = ([m.end() for m in p.finditer(text)] for p in (PARAGRAPH, SENTENCE))
-        self.starts, self.counts, self.cut = _atoms(text, self.tok, sorted({*sections, *paragraphs, *sentences}))
+        self.starts, self.counts, self.cut = _atoms(text, self.tok, self.stretches, self.counted, sorted({*sections, *paragraphs, *sentences}))
         self.sums = list(accumulate(self.counts, initial=0))
         self.levels = [_cuts(x, self.starts) for x in (sections, paragraphs, sentences)]
 
@@ -195,7 +202,7 @@ def split_documents(documents: DataFrame, settings: list[tuple[str, int, int]],
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 if not isinstance(text, str) or len(text.encode("utf-8", "surrogatepass")) <= least:  # no token is shorter than a byte
                     continue
-                if splitter.tok.count(text) <= least:
+                if splitter.read(text) <= least:
                     continue
                 for name, limit, overlap in settings:
                     found = splitter.pieces(text, limit, overlap)
