@@ -64,6 +64,7 @@ if __name__ == "__main__":
             said = differs(spark, con, sf, qs[name], sqls.get(name))
         except Exception as x:  # noqa: BLE001
             said = f"{type(x).__name__}: {str(x)[:600]}"
+            con = duck(sf)
         bad += bool(said)
         print(f"{name}: {'ok' if not said else said} ({time.time() - t:.1f} s{'' if name in sqls else ', rows only'})", flush=True)
     print("failed", bad)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import problems, routing
+from tidewright.plans import logs, problems, routing
 
-MODULES = [problems, routing]
+MODULES = [problems, routing, logs]
 
 
 def queries():
