@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import logs, problems, routing
+from tidewright.plans import content, logs, problems, routing
 
-MODULES = [problems, routing, logs]
+MODULES = [problems, routing, logs, content]
 
 
 def queries():
