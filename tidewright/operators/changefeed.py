@@ -84,8 +84,11 @@ def apply_changes(base: DataFrame | None, feed: DataFrame, batches: int = 4) ->
     per content, stay where the feed has no change of their key. Extra columns are carried along; an empty feed leaves the base.
     """
     last = resolve_newest_first(changes(feed), batches)
-    live = last.where("kind <> 'deleted'").select(F.col("feed_seq").alias("_seq"), F.col("content_id").alias("_content_id"))
-    images = feed.join(live, F.col("feed_seq") == F.col("_seq")).withColumn("content_id", F.col("_content_id")).drop("_seq", "_content_id")
+    # The records travel in a struct, so their columns may have any name.
+    live = last.where("kind <> 'deleted'").select(F.col("feed_seq").alias("_seq"), F.col("content_id").alias("_id"))
+    packed = feed.select(F.col("feed_seq").cast("long").alias("_seq"), F.struct(*[F.col(f"`{c}`") for c in feed.columns]).alias("_row"))
+    fields = [(F.col("_id") if c == "content_id" else F.col("_row").getField(c)).alias(c) for c in feed.columns]
+    images = packed.join(live, "_seq").select(*fields)
     if base is None:
         return images
     untouched = base.alias("p").join(last.alias("r"), same_key("p", "r"), "left_anti")
