@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import content, logs, problems, routing
+from tidewright.plans import content, graph, logs, problems, routing
 
-MODULES = [problems, routing, logs, content]
+MODULES = [problems, routing, logs, content, graph]
 
 
 def queries():
