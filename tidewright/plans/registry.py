@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import content, graph, logs, problems, routing
+from tidewright.plans import content, graph, logs, problems, routing, sources, streams
 
-MODULES = [problems, routing, logs, content, graph]
+MODULES = [problems, routing, logs, content, graph, sources, streams]
 
 
 def queries():
