@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import content, graph, logs, problems, routing, sources, streams
+from tidewright.plans import content, extraction, graph, logs, problems, routing, sources, streams
 
-MODULES = [problems, routing, logs, content, graph, sources, streams]
+MODULES = [problems, routing, logs, content, graph, sources, streams, extraction]
 
 
 def queries():
