@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from tidewright.functions.paths import js_round
+from tidewright.functions.paths import js_round, let
 from tidewright.functions.structure import occurrences_of, regex, word_count
 from tidewright.lexicons import domains as D
 
@@ -82,8 +82,13 @@ def is_compared(text: Column, keyword: str) -> Column:
 def weighted_phrases(text: Column, phrases: Sequence[tuple[str, float, str]], categories: Sequence[str] | None = None, least: float = 0.0) -> Column:
     """array<struct<impact, phrase, weight, n>> of the phrases (phrase, weight, category) that occur, by falling impact."""
     chosen = [(p, w) for p, w, c in phrases if w >= least and (categories is None or c in categories)]
-    found = F.array(*[F.struct((-F.lit(w) * occurrences_of(text, p)).alias("impact"), F.lit(p).alias("phrase"), F.lit(w).alias("weight"), occurrences_of(text, p).alias("n")) for p, w in chosen])
-    return F.array_sort(F.filter(found, lambda s: s["n"] > 0))
+
+    def found(low: Column) -> Column:
+        counts = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("weight"), occurrences_of(low, p).alias("n")) for p, w in chosen])
+        some = F.filter(counts, lambda s: s["n"] > 0)
+        return F.array_sort(F.transform(some, lambda s: F.struct((-s["weight"] * s["n"]).alias("impact"), s["phrase"].alias("phrase"), s["weight"].alias("weight"), s["n"].alias("n"))))
+
+    return let(F.lower(text), found)
 
 
 def weighted_fluff(found: Column, text: Column) -> Column:

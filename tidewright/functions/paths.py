@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from tidewright.lexicons.words import EXCLUDED_PATHS, SYNONYMS, SYNONYM_WEIGHT
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once. An expression that a lambda refers to is otherwise computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_round(c: Column, digits: int = 0) -> Column:
     """Rounds halves up, towards positive infinity."""
     return F.floor(c + 0.5) if not digits else F.floor(c * 10**digits + 0.5) / 10**digits
@@ -64,8 +71,11 @@ def token_similarity(a: Column, b: Column, edits: int = 2) -> Column:
         best = F.transform(x, lambda s: F.array_max(F.transform(y, lambda t: token_weight(s, t, edits))))
         return F.aggregate(best, F.lit(0.0), lambda acc, w: acc + w) / F.size(x)
 
-    empty_a, empty_b = F.size(a) == 0, F.size(b) == 0
-    return F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).otherwise((one_way(a, b) + one_way(b, a)) / 2)
+    def both_ways(x: Column, y: Column) -> Column:
+        empty_x, empty_y = F.size(x) == 0, F.size(y) == 0
+        return F.when(empty_x & empty_y, 1.0).when(empty_x | empty_y, 0.0).otherwise((one_way(x, y) + one_way(y, x)) / 2)
+
+    return let(a, lambda x: let(b, lambda y: both_ways(x, y)))
 
 
 def soundex(c: Column) -> Column:
@@ -80,16 +90,20 @@ def soundex(c: Column) -> Column:
 
 def ngrams(c: Column, n: int = 2) -> Column:
     """Distinct character n-grams in lower case; a shorter string is one gram, an empty one none."""
-    low = F.lower(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
-    return F.when(F.length(low) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def of(low: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+        return F.when(F.length(low) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    return let(F.lower(c), of)
 
 
 def ngram_similarity(a: Column, b: Column, n: int = 2) -> Column:
     """Dice coefficient of the n-gram sets."""
-    x, y = ngrams(a, n), ngrams(b, n)
-    dice = F.try_divide(2.0 * F.size(F.array_intersect(x, y)), (F.size(x) + F.size(y)).cast("double"))
-    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.coalesce(dice, F.lit(0.0)))
+    def dice(x: Column, y: Column) -> Column:
+        return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(x, y)), (F.size(x) + F.size(y)).cast("double")), F.lit(0.0))
+
+    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(let(ngrams(a, n), lambda x: let(ngrams(b, n), lambda y: dice(x, y))))
 
 
 def _sum_of(k: str, m: str):
@@ -98,12 +112,15 @@ def _sum_of(k: str, m: str):
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Of word counts, without punctuation and case."""
+    def measure(counts: Column) -> Column:
+        dot, p2, q2 = (F.aggregate(counts, F.lit(0.0), _sum_of(k, m)) for k, m in (("p", "q"), ("p", "p"), ("q", "q")))
+        return F.coalesce(F.try_divide(dot, F.sqrt(p2) * F.sqrt(q2)), F.lit(0.0))
+
+    def counted(x: Column, y: Column) -> Column:
+        return F.transform(F.array_union(x, y), lambda w: F.struct(F.size(F.filter(x, lambda t: t == w)).alias("p"), F.size(F.filter(y, lambda t: t == w)).alias("q")))
+
     x, y = (words(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " ")) for c in (a, b))
-    vocabulary = F.array_union(x, y)
-    counts = F.transform(vocabulary, lambda w: F.struct(F.size(F.filter(x, lambda t: t == w)).alias("p"), F.size(F.filter(y, lambda t: t == w)).alias("q")))
-    zero = F.lit(0.0)
-    dot, p2, q2 = (F.aggregate(counts, zero, _sum_of(k, m)) for k, m in (("p", "q"), ("p", "p"), ("q", "q")))
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(dot, F.sqrt(p2) * F.sqrt(q2)), zero))
+    return F.when(a == b, 1.0).otherwise(let(x, lambda u: let(y, lambda v: let(counted(u, v), measure))))
 
 
 def _jaro(a: str, b: str) -> float:

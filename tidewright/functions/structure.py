@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from tidewright.functions.paths import js_round, words
+from tidewright.functions.paths import js_round, let, words
 from tidewright.lexicons import words as L
 
 TABLE_ROW = r"^\s*\|.*\|\s*$"
@@ -57,7 +57,7 @@ def bullet_lists(text: Column) -> Column:
     """Runs of bullet or numbered lines; blank lines do not end a run."""
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"\S"))
     marks = F.transform(lines, lambda s: s.rlike(f"(?:{BULLET})|(?:{NUMBERED})"))
-    return F.size(F.filter(F.transform(marks, lambda m, i: m & ((i == 0) | ~F.element_at(marks, F.greatest(i, F.lit(1))))), lambda x: x))
+    return let(marks, lambda m: F.size(F.filter(F.transform(m, lambda x, i: x & ((i == 0) | ~F.element_at(m, F.greatest(i, F.lit(1))))), lambda x: x)))
 
 
 def statistics(text: Column) -> Column:
@@ -73,8 +73,12 @@ def header_levels(text: Column) -> Column:
 
 def valid_hierarchy(levels: Column) -> Column:
     """No header goes more than one level deeper than the one before."""
-    pairs = F.zip_with(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))), lambda a, b: b <= a + 1)
-    return (F.size(levels) < 2) | F.forall(pairs, lambda x: x)
+
+    def steady(v: Column) -> Column:
+        less = F.greatest(F.size(v) - 1, F.lit(0))
+        return (F.size(v) < 2) | F.forall(F.zip_with(F.slice(v, F.lit(1), less), F.slice(v, F.lit(2), less), lambda a, b: b <= a + 1), lambda x: x)
+
+    return let(levels, steady)
 
 
 def density_score(t: Column, b: Column, s: Column, h: Column, valid: Column) -> Column:
@@ -89,8 +93,8 @@ def breakdown(text: Column) -> dict[str, Column]:
 
 def phrases_in(text: Column, listed: Sequence[str]) -> Column:
     """The listed phrases that the text contains anywhere, in list order."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(p) for p in listed]), lambda p: F.contains(low, p))
+    every = F.array(*[F.lit(p) for p in listed])
+    return let(F.lower(text), lambda low: F.filter(every, lambda p: F.contains(low, p)))
 
 
 def word_count(text: Column) -> Column:
@@ -108,8 +112,8 @@ def fluff_score(text: Column) -> Column:
 
 
 def occurrences_of(text: Column, phrase: str) -> Column:
-    """Non-overlapping occurrences."""
-    low = F.lower(text)
+    """Non-overlapping occurrences in a text in lower case."""
+    low = text
     return ((F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewright.functions.paths import js_round
+from tidewright.functions.paths import js_round, let
 from tidewright.lexicons import words as L
 from tidewright.operators.logs import count_if
 
@@ -31,27 +31,37 @@ def is_earned(domain: Column, brands: Sequence[str]) -> Column:
 def sentiment(text: Column) -> Column:
     """positive, negative or neutral: words of both lists, turned by a negation within the three words before; phrases count 3; sarcasm swaps the
     sides at half weight."""
-    low = F.lower(text)
-    words = F.filter(F.split(low, r"\W+"), lambda w: w != "")
+    split = lambda t: F.filter(F.split(t, r"\W+"), lambda w: w != "")
     contraction = r"\b(?:don't|doesn't|didn't|won't|wouldn't|can't|couldn't|shouldn't|isn't|aren't|wasn't|weren't|haven't|hasn't|hadn't)\b"
-    # The text before each contraction, as the words before it number its place.
-    before = F.split(low, contraction)
-    counts = F.transform(F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0))), lambda t: F.size(F.filter(F.split(t, r"\W+"), lambda w: w != "")))
-    # Each contraction is two words itself.
-    places = F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + i * 2)
-    negators = F.array(*[F.lit(w) for w in L.NEGATION_WORDS])
-    flagged = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.array_contains(negators, w).alias("n")))
-    at = F.concat(F.transform(F.filter(flagged, lambda s: s["n"]), lambda s: s["i"]), places)
-    good, bad = (F.array(*[F.lit(w) for w in ws]) for ws in (L.POSITIVE_WORDS, L.NEGATIVE_WORDS))
-    turned = lambda s: F.exists(at, lambda p: (s["i"] > p) & (s["i"] <= p + 3))
-    pos_words = F.filter(flagged, lambda s: F.array_contains(good, s["w"]))
-    neg_words = F.filter(flagged, lambda s: F.array_contains(bad, s["w"]))
-    phrases = lambda ps: 3.0 * F.size(F.filter(F.array(*[F.lit(p) for p in ps]), lambda p: F.contains(low, p)))
-    p = phrases(L.POSITIVE_PHRASES) + F.size(F.filter(pos_words, lambda s: ~turned(s))) + 0.5 * F.size(F.filter(neg_words, turned))
-    n = phrases(L.NEGATIVE_PHRASES) + F.size(F.filter(pos_words, turned)) + F.size(F.filter(neg_words, lambda s: ~turned(s)))
-    sarcasm = low.rlike(r"\b(?:yeah right|sure thing|oh great|just great|wonderful\.{2,}|amazing\.{2,})")
-    diff = F.when(sarcasm, (n - p) * 0.5).otherwise(p - n)
-    return F.when(text.isNull(), None).when(diff > 1, "positive").when(diff < -1, "negative").otherwise("neutral")
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws])
+    count = lambda a, f: F.size(F.filter(a, f))
+
+    def places(counts: Column) -> Column:
+        """The numbers of the words that contractions begin with; each contraction is two words itself."""
+        return F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + i * 2)
+
+    def contractions(low: Column) -> Column:
+        before = F.split(low, contraction)
+        return let(F.transform(F.slice(before, F.lit(1), F.greatest(F.size(before) - 1, F.lit(0))), lambda t: F.size(split(t))), places)
+
+    def scores(low: Column, numbered: Column, at: Column) -> Column:
+        """numbered: words of either list or negators, with their number and kind."""
+        turned = lambda s: F.exists(at, lambda p: (s["i"] > p) & (s["i"] <= p + 3))
+        good, bad = F.filter(numbered, lambda s: s["k"] == 1), F.filter(numbered, lambda s: s["k"] == 2)
+        phrases = lambda ps: 3.0 * count(listed(ps), lambda p: F.contains(low, p))
+        p = phrases(L.POSITIVE_PHRASES) + count(good, lambda s: ~turned(s)) + 0.5 * count(bad, turned)
+        n = phrases(L.NEGATIVE_PHRASES) + count(good, turned) + count(bad, lambda s: ~turned(s))
+        sarcasm = low.rlike(r"\b(?:yeah right|sure thing|oh great|just great|wonderful\.{2,}|amazing\.{2,})")
+        return F.when(sarcasm, (n - p) * 0.5).otherwise(p - n)
+
+    kinds = F.create_map(*[F.lit(x) for ws, k in ((L.NEGATION_WORDS, 0), (L.POSITIVE_WORDS, 1), (L.NEGATIVE_WORDS, 2)) for w in ws for x in (w, k)])
+
+    def difference(low: Column) -> Column:
+        known = F.filter(F.transform(split(low), lambda w, i: F.struct(i.alias("i"), F.try_element_at(kinds, w).alias("k"))), lambda s: s["k"].isNotNull())
+        return let(known, lambda v: let(F.concat(F.transform(F.filter(v, lambda s: s["k"] == 0), lambda s: s["i"]), contractions(low)), lambda at: scores(low, v, at)))
+
+    diff = let(F.lower(text), difference)
+    return F.when(text.isNull(), None).otherwise(let(diff, lambda d: F.when(d > 1, "positive").when(d < -1, "negative").otherwise("neutral")))
 
 
 def store_stats(rows: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidewright.functions import structure as S
+from tidewright.functions import paths as P, structure as S
 from tidewright.lexicons import words as L
 from tidewright.plans.problems import read
+from tidewright.session import spread
 
 
 def docs(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", S.plain_lines(F.col("text")).alias("t"))
+    return spread(read(spark, sf, "documents")).select("doc_id", S.plain_lines(F.col("text")).alias("t"))
 
 
 def sents(spark, sf):
@@ -154,7 +155,7 @@ def win08_featured_paragraph(spark, sf):
 def txt26_differentiation(spark, sf):
     """Occurrences of stock phrases, their share of the words, whether that is low differentiation."""
     t = F.col("t")
-    total = sum((S.occurrences_of(t, p) * len(p.split()) for p in L.DIFFERENTIATION_PHRASES), F.lit(0))
+    total = P.let(F.lower(t), lambda low: sum((S.occurrences_of(low, p) * len(p.split()) for p in L.DIFFERENTIATION_PHRASES), F.lit(0)))
     share = F.coalesce(F.try_divide(total.cast("double"), S.word_count(t)), F.lit(0.0))
     return docs(spark, sf).select("doc_id", total.alias("phrase_words"), F.round(share, 9).alias("share"), (share > 0.3).alias("low"))
 

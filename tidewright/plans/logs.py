@@ -9,6 +9,7 @@ from tidewright.lexicons import words as W
 from tidewright.operators import changefeed, citations as C, freshness as FR, logs as L, routing as R
 from tidewright.operators.messages import micros
 from tidewright.plans.problems import read
+from tidewright.session import spread
 
 NOW = "2020-03-01 00:00:00"
 
@@ -220,7 +221,7 @@ def cit01_standard_citations(spark, sf):
 
 
 def sen01_sentiment(spark, sf):
-    return cites(spark, sf).select("citation_id", C.sentiment(F.col("mention_context")).alias("sentiment"))
+    return spread(cites(spark, sf)).select("citation_id", C.sentiment(F.col("mention_context")).alias("sentiment"))
 
 
 def cls01_detected_agents(spark, sf):

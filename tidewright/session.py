@@ -58,3 +58,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table that comes in fewer partitions than there are cores, so that costly work on each row uses them all.
+    A table of enough partitions, which is every large one, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
