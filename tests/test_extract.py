@@ -138,3 +138,25 @@ def test_stream_sessions_and_dedup(spark, tmp_path):
     assert once.count() == 4
     out = stateful.run_to_table(stateful.sessions(stream_of(spark, tmp_path / "s", rows, schema, 1)), "sessions").orderBy("start").collect()
     assert [r.events for r in out][:2] == [3, 1]
+
+
+def test_entities():
+    from tidewright.functions.entities import detect, with_trust_signals
+
+    product = "# Red kettle\nPrice: $25.00 USD. In stock, SKU: rk-12. Add to cart or buy now. Free shipping and a rating: 4.5 for this product of steel."
+    assert detect(product)[0]["type"] == "Product" and detect(product)[0]["name"] == "Red kettle"
+    faq = "Frequently asked questions\nQ: What is it?\nA: A thing that does what it should do, every day.\nQ: Is it good?\nA: It is, we think."
+    assert "FAQ" in [e["type"] for e in detect(faq)]
+    article = "# On tea\nPublished on March 5, 2020 by Mira Hadlland. 7 min read. A blog article about tea with many words, so that it is long enough."
+    assert detect(article)[0]["type"] == "Article"
+    assert detect("") == [] and detect("short text") == [] and detect("add to cart $5")[0]["type"] == "Product"
+    assert "Mira" in with_trust_signals('{"@type":"Article"}', author="Mira")
+
+
+def test_jsonld(spark):
+    from tidewright.functions import entities as E
+
+    df = spark.createDataFrame([("add to cart for $5",), ("",), (None,)], "t string").withColumn("d", E.schema_graph(E.entities(F.col("t")), F.col("t")))
+    rows = df.select("d", E.valid_jsonld(F.col("d")).alias("v"), E.script_tag(F.col("d")).alias("s")).collect()
+    assert rows[0].v and '"Product"' in rows[0].d and '"WebPage"' in rows[0].d and rows[1].v and "WebPage" not in rows[1].d
+    assert spark.createDataFrame([("{",), ('{"@context":1}',)], "d string").select(E.valid_jsonld(F.col("d")).alias("v")).where("v").count() == 0

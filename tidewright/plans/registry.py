@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import authority, content, extraction, graph, logs, problems, routing, sources, streams
+from tidewright.plans import authority, content, entities, extraction, graph, logs, problems, routing, sources, streams
 
-MODULES = [problems, routing, logs, content, graph, sources, streams, extraction, authority]
+MODULES = [problems, routing, logs, content, graph, sources, streams, extraction, authority, entities]
 
 
 def queries():
