@@ -148,3 +148,34 @@ def test_heavy_chunks(spark, monkeypatch):
             rows.append((1000 + i, 3, None, rows[-1][3], " ".join(words)))
     rows.sort(key=lambda r: (r[1], r[0]))
     assert found(spark, rows) == brute(rows)
+
+
+def test_heavy_chunks_hide_no_earlier_citation(spark):
+    """The first text with the chunks of an article holds it but is too long to be repeated; two of the later versions also repeat each other."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    article, rest, aside = ([word() for _ in range(n)] for n in (80, 120, 9))
+    rows = [(1, 0, None, "Hot", " ".join(article + rest)), (2, 0, None, "Hot", " ".join(article))]
+    for i in range(70):
+        words = list(article)
+        words[40:40] = aside if i in (20, 50) else [word()]
+        words.append(word())  # else the end of the text would be a chunk that the first does not have
+        rows.append((10 + i, 1, None, "Hot", " ".join(words)))
+    assert len(brute(rows)) == 70
+    assert found(spark, rows) == brute(rows)
+
+
+def test_heavy_chunks_of_small_part(spark, monkeypatch):
+    """Blocks compare texts of which heavy chunks are a small part, also those of one batch that repeat nothing stored."""
+    monkeypatch.setattr(M, "HEAVY", 4)
+    monkeypatch.setattr(M, "BLOCK", 7, raising=False)
+    rng = random.Random(5)
+    stock, rows = [f"stock{k}" for k in range(6)], []
+    for i in range(60):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(50)] + stock
+        rows.append((i, i % 3, None, "Hot", " ".join(words)))
+        for j in range(2):  # every sixth word is another one, so that few chunks are left
+            changed = [w if k % 6 else f"c{rng.randrange(10**6)}" for k, w in enumerate(words)]
+            rows.append((1000 + 2 * i + j, i % 3 + j, None, "Hot", " ".join(changed)))
+    assert len(brute(rows)) > 60
+    assert found(spark, rows) == brute(rows)

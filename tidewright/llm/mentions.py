@@ -45,8 +45,8 @@ SITE_END = re.compile(r"\s+(?:\||::|»|·|•|—|–)\s*[^|]{1,40}$|\s+-\s+[^\W
 #: ones tell texts apart that are made of the same stock phrases.
 GRAINS = ((8, 3), (24, 6))
 COVERAGE = 0.05  # nominates pairs for the exact rule; the least coverage of true pairs under random edits was 0.08
-HEAVY = 64  # a chunk of more texts nominates the first of them, and the others only where HEAVY_COVERAGE asks for it
-HEAVY_COVERAGE = 0.3
+HEAVY = 64  # a chunk of more texts nominates the first of them; all others that hold such chunks are compared in blocks, without chunks
+BLOCK = 512  # texts on each side of a block
 SHARE, LENGTHS = 0.8, 0.5
 _GEAR = np.frombuffer(hashlib.shake_256(b"tidewright gear").digest(256 * 8), dtype=np.uint64)
 
@@ -188,6 +188,51 @@ def _repeats(ka: pd.Series, a: pd.Series, kb: pd.Series, b: pd.Series) -> pd.Ser
     return pd.Series([x == y and repeats(s.split(" "), t.split(" ")) for x, s, y, t in zip(ka, a, kb, b)], dtype=bool)
 
 
+BLOCKED = "t string, other string, own boolean"
+
+
+def _blocked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """(t, other, own) of the texts of two blocks of one title that repeat each other; own: other is of the batch as well.
+
+    The rule needs four fifths of the words of the shorter in order, so at least as many in common; only pairs that have them reach it.
+    """
+    texts = [s.split(" ") for s in right["text"]]
+    held: dict[tuple[str, int], list[int]] = {}
+    for j, words in enumerate(texts):
+        for x in _numbered(words):
+            held.setdefault(x, []).append(j)
+    at = {x: np.array(js) for x, js in held.items()}
+    size, other, stored, b, n = np.array([len(w) for w in texts], dtype=np.int64), right["t"].to_numpy(), right["stored"].to_numpy(dtype=bool), right["b"].to_numpy(), right["n"].to_numpy()
+    out = []
+    for t, text, b_own, n_own, known, b_known, n_known in left[["t", "text", "b", "n", "known", "b_known", "n_known"]].itertuples(index=False):
+        words = text.split(" ")
+        hits = [at[x] for x in _numbered(words) if x in at]
+        if not hits:
+            continue
+        # What repeats a stored text is no citation that others could repeat, and only stored ones before that text matter to it.
+        if known:
+            asked = stored & ((b < b_known) | ((b == b_known) & (n < n_known)))
+        else:
+            asked = stored | (b < b_own) | ((b == b_own) & (n < n_own))
+        short, long = np.minimum(size, len(words)), np.maximum(size, len(words))
+        common = np.bincount(np.concatenate(hits), minlength=len(texts))
+        for j in np.nonzero(asked & (other != t) & (2 * short >= long) & (5 * common >= 4 * short))[0]:
+            if repeats(words, texts[j]):
+                out.append((t, other[j], not stored[j]))
+    return pd.DataFrame(out, columns=["t", "other", "own"])
+
+
+def _numbered(words: list[str]) -> list[tuple[str, int]]:
+    """Each word with how often it stood before, so that sets of them meet as often as the words do."""
+    seen: dict[str, int] = {}
+    out = []
+    for w in words:
+        k = seen.get(w, 0)
+        seen[w] = k + 1
+        out.append((w, k))
+    return out
+
+
 def prepare(rows: DataFrame) -> DataFrame:
     """citation_id, ingest_batch, page key, class, title key, words and chunks of each citation; row by row, without history."""
     p = rows.select("citation_id", "ingest_batch", F.pandas_udf(_prepared, PREPARED)("source_url", "title", "mention_context").alias("p"))
@@ -249,9 +294,8 @@ class AcceptedMentions:
     def near(self, classes: DataFrame) -> DataFrame:
         """(t, other) of different texts that repeat each other; t of the batch, other of the store or the batch. classes: t, o, title_key, text, bytes, chunks.
 
-        A chunk that more than HEAVY texts share - a stock phrase, or a piece of a text of which there are many versions - would pair all of them.
-        It nominates the first of them only. Where that finds nothing earlier, and such chunks make up HEAVY_COVERAGE of a text, all texts are
-        sought that share so much of them with it.
+        A chunk that more than HEAVY texts share - a stock phrase, or a piece of a text of which there are many versions - would pair all of them
+        once for each such chunk. It nominates the first of them only, and the texts that hold such chunks are compared in blocks.
         """
         probe = classes.select("t", "bytes", F.explode("chunks").alias("c")).select(F.col("t").alias("a"), F.col("bytes").alias("a_bytes"), "c.h", "c.len")
         own = classes.select(F.explode("chunks.h").alias("h"), "t", "bytes", "o")
@@ -266,15 +310,34 @@ class AcceptedMentions:
         post = lambda rows: rows.select("h", F.col("t").alias("b"), F.col("bytes").alias("b_bytes"))
         some = post(joined(light)).unionByName(heavy.select("h", F.col("first.t").alias("b"), F.col("first.bytes").alias("b_bytes")))
         found = materialize(self._verified(self._covered(probe.join(some, "h"), COVERAGE), classes), "near")
-        # What only heavy chunks can tell about: texts that are largely made of them and were found to repeat nothing.
-        bulk = probe.join(heavy.select("h"), "h").groupBy("a").agg(F.sum("len").alias("n"), F.first("a_bytes").alias("of")).where(F.col("n") >= HEAVY_COVERAGE * F.col("of"))
-        bulk = bulk.select("a").join(found.select(F.col("t").alias("a")), "a", "left_anti")
-        rest = probe.join(bulk, "a").join(heavy.select("h"), "h")
-        if rest.isEmpty():
+        if heavy.isEmpty():
             return found
-        more = self._verified(self._covered(rest.join(post(joined(rest.select("h").distinct(), "left_semi")), "h"), HEAVY_COVERAGE), classes)
-        both = found.unionByName(more)
-        return both.distinct()
+        return found.unionByName(self._near_in_blocks(classes, own, heavy.select("h"), found)).distinct()
+
+    def _near_in_blocks(self, classes: DataFrame, own: DataFrame, heavy: DataFrame, found: DataFrame) -> DataFrame:
+        """(t, other) as of near, of the texts that hold heavy chunks: every pair of a title, but those that cannot change what is reported."""
+        new = own.join(heavy, "h", "left_semi").select("t", "o").distinct().join(classes.select("t", "title_key", "text"), "t")
+        old = self.chunks().join(heavy, "h", "left_semi").select("t", "o").distinct().withColumn("h", F.xxhash64("t"))
+        old = materialize(self.texts().join(old, ["h", "t"]).select("t", "o", "title_key", "text"), "heavy_old")
+        # The first accepted citation that a text is known to repeat; it is a case then, whatever else is found.
+        asked = found.select("t", F.col("other").alias("key")).unionByName(new.select("t", F.col("t").alias("key"))).withColumn("h", F.xxhash64("key"))
+        known = self.keys().join(asked, ["h", "key"]).groupBy("t").agg(F.min("o").alias("known"))
+        new = materialize(new.join(known, "t", "left"), "heavy_new")
+        lone = new.where("known is null")
+        right = old.withColumn("stored", F.lit(True)).unionByName(lone.drop("known").withColumn("stored", F.lit(False)))
+        lowest = old.groupBy("title_key").agg(F.min("o").alias("lowest"))
+        left = new.join(lowest, "title_key", "left").where("known is null or lowest < known").drop("lowest")
+        blocks = lambda rows, name: rows.groupBy("title_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        count = materialize(blocks(left, "lefts").join(blocks(right, "rights"), "title_key"), "blocks")
+        place = F.abs(F.hash("t")).cast("long")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left, right = (x.join(count, "title_key").withColumns({"b": F.col("o.b"), "n": F.col("o.id")}) for x in (left, right))
+        left = left.withColumns({"i": F.pmod(place, "lefts").cast("int"), "j": every("rights"), "b_known": F.coalesce("known.b", F.lit(0)), "n_known": F.coalesce("known.id", F.lit(0)), "known": F.col("known").isNotNull()})
+        right = right.withColumns({"j": F.pmod(place, "rights").cast("int"), "i": every("lefts")})
+        by = ["title_key", "i", "j"]
+        pairs = left.drop("o", "lefts", "rights").groupBy(*by).cogroup(right.drop("o", "lefts", "rights").groupBy(*by)).applyInPandas(_blocked, BLOCKED)
+        pairs = materialize(pairs, "heavy_near")
+        return pairs.select("t", "other").unionByName(pairs.where("own").select(F.col("other").alias("t"), F.col("t").alias("other")))
 
     @staticmethod
     def _covered(shared: DataFrame, least: float) -> DataFrame:
