@@ -179,3 +179,14 @@ def test_heavy_chunks_of_small_part(spark, monkeypatch):
             rows.append((1000 + 2 * i + j, i % 3 + j, None, "Hot", " ".join(changed)))
     assert len(brute(rows)) > 60
     assert found(spark, rows) == brute(rows)
+
+
+def test_title_with_a_short_tail():
+    """Contexts that are a title and a word or two repeat each other by the rule, so they have chunks in common."""
+    title = " ".join(f"{c}{k}word" for k, c in enumerate("abcdefghijklmnopqrstuvwxyzabcd"))
+    texts = [title, *[f"{title} {tail}" for tail in ("foo bar", "baz", "Site", "edit typo")], f"{title} " + " ".join(f"rest{k}" for k in range(28))]
+    for a in texts:
+        for b in texts:
+            assert M.repeats(M.plain_words(a), M.plain_words(b))
+            x, y = (dict(M.chunks_of(M.title_key(title), M.plain_words(t))) for t in (a, b))
+            assert sum(n for h, n in x.items() if h in y) >= M.COVERAGE * min(sum(x.values()), sum(y.values()))

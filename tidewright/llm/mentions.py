@@ -127,14 +127,8 @@ def chunk_ends(data: bytes, modulus: int = GRAINS[0][0], window: int = GRAINS[0]
 
 
 def chunks_of(key: str, words: list[str]) -> list[tuple[int, int]]:
-    """Distinct (hash, bytes) of a text's chunks. Words that only repeat the title at the opening tell nothing and are left out."""
-    opening = key.split(" ")
-    body = words
-    for skip in range(0, 4):
-        if words[skip : skip + len(opening)] == opening and len(words) > skip + len(opening):
-            body = words[skip + len(opening) :]
-            break
-    data = " ".join(body).encode("utf-8", "surrogatepass")
+    """Distinct (hash, bytes) of a text's chunks. The title at the opening counts like all words, as the rule counts it: it alone can make a repeat."""
+    data = " ".join(words).encode("utf-8", "surrogatepass")
     out = {}
     for modulus, window in GRAINS:
         salt, start = f"{modulus}\0{key}\0".encode("utf-8", "surrogatepass"), 0
