@@ -45,7 +45,7 @@ def gr01_clusters(spark, sf):
 
 def gr03_page_nodes(spark, sf):
     c = read(spark, sf, "cms_events")
-    return c.select("feed_seq", "path", "title", P.topic_hash(F.substring("content", 1, 60)).alias("content_hash"))
+    return c.select("feed_seq", "path", "title", P.topic_hash(F.col("content")).alias("content_hash"))
 
 
 def gr04_reputation_clusters(spark, sf):
