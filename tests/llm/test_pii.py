@@ -122,3 +122,11 @@ def test_tables(spark):
     red = {r.record_key: r.text for r in P.redacted(rows, "text", names, b"k").collect()}
     assert red["p2"] is None and red["p3"] == "" and red["p1"].startswith("mail [EMAIL:")
     assert P.occurrences(rows.limit(0), ["record_key"], "text", names).count() == 0
+
+
+@pytest.mark.parametrize("text,kind,start", [
+    ("write to jane at example\ndot com today", "email", "jane"), ("write to jane\tAT example.org today", "email", "jane"), ("jane(\nat)example.org", "email", "jane"), ("jane at example dot\tcom", "email", "jane"),
+    ("my TIN12345678 there", "id_number", "12345678"), ("my TIN\t12 345 678 there", "id_number", "12 345"),
+])
+def test_hints_let_through_what_the_patterns_match(text, kind, start):
+    assert (text.index(start), kind) in [(s, k) for s, _, k in P.find_pii(text, GIVEN)]

@@ -126,19 +126,18 @@ def _free(spans: list, start: int, end: int) -> bool:
 
 
 #: Without one of these a text cannot match the pattern; looking for them first is many times faster than the pattern.
-_AT_HINTS = ("@", "(at", "[at", "{at", "( at", "[ at", "{ at")
-_DOT_HINTS = (" dot ", " punkt ", " punto ", " point ")
+_AT_HINT = re.compile(r"@|[\[({]\s?(?:at|AT|At)|\sAT\s")
+_DOT_HINT = re.compile(r"\s(?:dot|punkt|punto|point)\s", re.I)
 _ANNOUNCING = (
     "ssn", "social", "sozial", "seguridad", "curit", "nir", "steuer", "national", "ni n", "nino", "identity", "id card", "id n", "passp", "reisep", "pasap", "passep",
-    "ausweis", "licen", "rerschein", "dni", "nie", "nif", "curp", "tax ", "tin ", "tin:", "tin#", "tin=", "tin\n",
+    "ausweis", "licen", "rerschein", "dni", "nie", "nif", "curp", "tax ", "tin",
 )
 DENSE = re.compile(r"\d(?:[ .()/\-]{0,3}\d){5}")
 
 
 def _emails(t: str, spans: list) -> None:
-    low = t.lower()
-    patterns = [EMAIL] if " AT " in t or "\nAT " in t or any(h in low for h in _AT_HINTS) else []
-    patterns += [SPELLED] if any(h in low for h in _DOT_HINTS) else []
+    patterns = [EMAIL] if _AT_HINT.search(t) else []
+    patterns += [SPELLED] if _DOT_HINT.search(t) else []
     for p in patterns:
         for m in p.finditer(t):
             ending = m.group(3)
