@@ -130,3 +130,11 @@ def test_tables(spark):
 ])
 def test_hints_let_through_what_the_patterns_match(text, kind, start):
     assert (text.index(start), kind) in [(s, k) for s, _, k in P.find_pii(text, GIVEN)]
+
+
+@pytest.mark.parametrize("text,name", [
+    ("I met Mira Garcia there", "Mira Garcia"), ("Thanks Owen Smith for it", "Owen Smith"), ("It was Jürgen P. Mueller who", "Jürgen P. Mueller"), ("by J. Dupont today", "J. Dupont"),
+    ("Inés de la Cruz wrote", "Inés de la Cruz"), ("ask Grace O'Brien's team", "Grace O'Brien"), ("Dr. A. B. Jones said", "A. B. Jones"),
+])
+def test_family_names_of_any_ending(text, name):
+    assert [text[s:e] for s, e, k in P.find_pii(text, GIVEN) if k == "name"] == [name]

@@ -90,7 +90,6 @@ TAIL = re.compile(
 NOT_STREET = re.compile(r"(?:^|\s)(?:view|records?|map|units?|smart|the|of|in|on|per|a|an|and|or|to|for|new|old|main menu)$", re.I)
 
 # ---------------------------------------------------------------- names
-_ENDING = r"(?:son|sen|sson|ova|eva|ov|ev|ski|sky|ska|mond|hart|wick|land|veld|feld|gard|ley|strom|ström|berg|stein|mann|moor|ford|well|worth|brook|shaw|wood|field|man|ez|az|oz|ier|ault|eau|eux|elli|etti|ini|escu|enko|chuk|opoulos|idis|ic|ich|vich|ton|by|er)"
 _STRONG = r"(?:son|ova|ski|mond|hart|wick|land|veld|gard|ley|strom)"
 WORDS_NOT_FAMILY = frozenset(
     """season reason person lesson comparison unison prison poison treason jettison garrison liaison saison raison maison livraison poisson boisson chanson comparaison
@@ -118,7 +117,16 @@ FAMILY = re.compile(rf"(?<![\w@.+/])([^\W\d_]{{2,}}?{_STRONG}(?:-[^\W\d_]{{2,}}?
 _WORD = r"[^\W\d_]+(?:-[^\W\d_]+)?"
 BEFORE = re.compile(rf"(?<![\w@.+\-/’'])(?:({_WORD}) (?:([^\W\d_])\. ?)?|([^\W\d_])\. ?(?:([^\W\d_])\. ?)?)$")
 AFTER = re.compile(rf"^, ?(?:({_WORD})|([^\W\d_])\.)(?![\w@]|[.\-]\w)")
-LISTED = re.compile(rf"({_WORD}) (?:[^\W\d_]\. ?)?([A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)")
+#: A word, maybe an initial, and a capitalized word, maybe with particles: a name where the first is a listed given name.
+LISTED = re.compile(rf"(?<![\w@.+\-/’'])({_WORD})(?= (?:[^\W\d_]\. ?)?(?:(?:van|von|de|der|den|la|del|di|da|le|du|ten|ter) ){{0,3}}[A-ZÀ-Þ])")
+TITLED = re.compile(r"(?<!\w)(?:mr|mrs|ms|dr|prof|professor|herr|frau|mme|mlle|señor|señora|sr|sra|by)\.? ((?:[^\W\d_]\. ?){1,2}(?=[A-ZÀ-Þ]))", re.I)
+REST = re.compile(r" ?(?:[^\W\d_]\. ?)?(?:(?:van|von|de|der|den|la|del|di|da|le|du|ten|ter) ){0,3}((?:[A-ZÀ-Þ]['’])?[A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)(?![\w@+]|[.\-_]\w|['’](?!s\b)\w)")
+#: Capitalized words after a given name, or a word that is one as well, that make it a product, a place or a sentence.
+NOT_FAMILY = frozenset(
+    """archive down period visited up out off list collect setting settings mode plan plans account app api button page pages menu panel dashboard report reports release update upgrade trial
+    edition suite tool tools server service services platform network project team company bank store shop hotel market media news magazine press award awards prize
+    street road avenue lane drive square park airport station city town county river lake island bay beach bridge hill valley university college school hospital church museum""".split()
+)
 
 
 def _free(spans: list, start: int, end: int) -> bool:
@@ -229,6 +237,26 @@ def _names(t: str, spans: list, given: frozenset) -> None:
                 stop = end + a.end()
                 if _free(spans, start, stop):
                     spans.append((start, stop, "name"))
+    for m in LISTED.finditer(t):
+        if m.group(1).lower() in given:
+            _plain_name(t, spans, m.start(1), m.end(1))
+    for m in TITLED.finditer(t):
+        _plain_name(t, spans, m.start(1), m.end(1))
+
+
+def _plain_name(t: str, spans: list, start: int, at: int) -> None:
+    """A name that opens from start to at, if a family name of whatever ending follows."""
+    m = REST.match(t, at)
+    if not m:
+        return
+    family, low, first = m.group(1), m.group(1).lower(), t[start:at]
+    if low in STOP or low in NOT_FAMILY or low in WORDS_NOT_FAMILY or COMPANY.match(" " + family) or COMPANY.match(t[m.end() : m.end() + 16]):
+        return
+    # A given name that is a word of the language, too, counts with a capital only, and not in a text in capitals.
+    if first.lower() in STOP and (first[0].islower() or (first.isupper() and family.isupper())):
+        return
+    if _free(spans, start, m.end()):
+        spans.append((start, m.end(), "name"))
 
 
 def find_pii(text: str | None, given: Iterable[str] = ()) -> list[tuple[int, int, str]]:
