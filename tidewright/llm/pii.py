@@ -1,8 +1,8 @@
 """Personal information in free text: where it stands, and the same text with typed placeholders (problem 3).
 
-Method: format-preserving Feistel pseudonyms. Digits and letters of a validated number are permuted under a key within the number's own
+Method: format-preserving Feistel pseudonyms. Digits and letters of a number are permuted under a key within the number's own
 format (groups, separators and prefixes stay), so equal values have equal pseudonyms in all documents and different values different ones;
-dates are permuted within their calendar range. Mail addresses, street addresses and names have no fixed format and get a keyed token.
+permute_date does so for dates, which are not sought in texts yet; check digits are not verified. Mail addresses, street addresses and names have no fixed format and get a keyed token.
 Everything is decided within one text, so the work is one pass over the rows without a shuffle.
 """
 
