@@ -1,7 +1,11 @@
 """New mentions against accepted ones: pieces of the rule, and the whole against brute force."""
 
 import random
+import subprocess
+import sys
 
+import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tidewright.llm import mentions as M
@@ -43,14 +47,50 @@ def test_words_in_order(a, b):
     assert M.in_order(a, b) == plain_lcs(a, b)
 
 
+def ends(data, grain):
+    return M.cut(np.frombuffer(data, dtype=np.uint8), np.array([0]), *grain).tolist()
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.binary(max_size=400))
-def test_chunks_cover_the_text(data):
-    ends = M.chunk_ends(data)
-    assert ends == sorted(set(ends)) and (not data or ends[-1] == len(data))
-    if data:  # what follows a cut does not depend on what stands before the window
-        again = M.chunk_ends(b"some other beginning" + data)
-        assert {e + 20 for e in ends if e > M.GRAINS[0][1]} <= set(again) | {len(data) + 20}
+@given(st.binary(min_size=1, max_size=400), st.sampled_from([g[2:] for g in M.GRAINS]))
+def test_chunks_cover_the_text(data, grain):
+    found = ends(data, grain)
+    assert found == sorted(set(found)) and found[-1] == len(data)
+    # What follows a cut does not depend on what stands before the window.
+    again = ends(b"some other beginning" + data, grain)
+    assert {e + 20 for e in found if e >= grain[1]} <= set(again)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab cé", min_size=1, max_size=60), st.integers(-(2**63), 2**63 - 1)), min_size=1, max_size=8))
+def test_chunks_do_not_depend_on_what_is_cut_with_them(texts):
+    """A text has the same chunks alone and among others; equal pieces have equal hashes under equal salts only."""
+    data, salts, words = [t.encode() for t, _ in texts], [s for _, s in texts], [20] * len(texts)
+    hashes, sizes, least = M.chunked(data, salts, words)
+    for i in range(len(texts)):
+        alone = M.chunked(data[i : i + 1], salts[i : i + 1], words[:1])
+        assert alone[0][0].tolist() == hashes[i].tolist() and alone[1][0].tolist() == sizes[i].tolist() and alone[2][0] == least[i]
+        other = M.chunked(data[i : i + 1], [salts[i] ^ 1], words[:1])
+        assert not set(other[0][0].tolist()) & set(hashes[i].tolist())
+        pieces = {data[i][a:b] for a, b in zip([0, *ends(data[i], (4, 2))], ends(data[i], (4, 2)))}
+        assert len(hashes[i]) == len(pieces) and least[i] == sum(map(len, pieces))
+
+
+def test_coverage_at_the_limit_of_the_rule():
+    """Where every fifth word, at random, is another one, coverage nominates the pair, whatever the length."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 8, 9]))) for _ in range(3000)]
+    for n in (5, 6, 8, 9, 12, 16, 20, 32, 33, 40, 64, 80, 300):
+        for _ in range(60):
+            a = [rng.choice(words) for _ in range(n)]
+            b = list(a)
+            for i in rng.sample(range(n), n // 5):
+                b[i] = rng.choice(words)
+            b += [rng.choice(words) for _ in range(rng.choice([0, n // 2, n]))]
+            assert M.repeats(a, b)
+            hashes, sizes, least = M.chunked([" ".join(x).encode() for x in (a, b)], [7, 7], [len(a), len(b)])
+            other = set(hashes[1].tolist())
+            assert sum(s for h, s in zip(hashes[0].tolist(), sizes[0].tolist()) if h in other) >= M.COVERAGE * min(least), n
 
 
 def brute(rows):
@@ -131,7 +171,7 @@ def test_batch_taken_once(spark):
     n = store.keys().count()
     assert store.ingest(df, "one").count() == 0 and store.keys().count() == n
     again = M.AcceptedMentions(spark, root=store.root)
-    assert again.texts().count() == store.texts().count()
+    assert again.texts().count() == store.texts().count() and again.keys().count() == n
 
 
 def test_heavy_chunks(spark, monkeypatch):
@@ -181,12 +221,68 @@ def test_heavy_chunks_of_small_part(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
-def test_title_with_a_short_tail():
-    """Contexts that are a title and a word or two repeat each other by the rule, so they have chunks in common."""
+def test_title_with_a_short_tail(spark):
+    """Contexts that are a title and a word or two repeat each other by the rule."""
     title = " ".join(f"{c}{k}word" for k, c in enumerate("abcdefghijklmnopqrstuvwxyzabcd"))
     texts = [title, *[f"{title} {tail}" for tail in ("foo bar", "baz", "Site", "edit typo")], f"{title} " + " ".join(f"rest{k}" for k in range(28))]
-    for a in texts:
-        for b in texts:
-            assert M.repeats(M.plain_words(a), M.plain_words(b))
-            x, y = (dict(M.chunks_of(M.title_key(title), M.plain_words(t))) for t in (a, b))
-            assert sum(n for h, n in x.items() if h in y) >= M.COVERAGE * min(sum(x.values()), sum(y.values()))
+    rows = [(i, i, None, title, t) for i, t in enumerate(texts)]
+    assert found(spark, rows) == brute(rows) == [(0, i) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("heavy", [3, 16, 64])
+@pytest.mark.parametrize("later", [(200,), (200, 201), (201, 200)])
+def test_what_a_batch_holds_besides_changes_nothing(spark, monkeypatch, heavy, later):
+    """Seventy long texts hold the forty words of a short one; both later texts repeat the short one, whatever else is in their batch."""
+    monkeypatch.setattr(M, "HEAVY", heavy)
+    word = lambda k: f"{'abcdefgh'[k % 8]}{k * 7919 % 10007}"
+    core = [word(k) for k in range(40)]
+    rows = [(i, 0, None, "Hot", " ".join([word(1000 * i + k) for k in range(60)] + core + [word(1000 * i + 500 + k) for k in range(60)])) for i in range(1, 71)]
+    rows.append((100, 0, None, "Hot", " ".join(core)))
+    own = [word(90_000 + k) for k in range(9)]
+    text = {200: own[:5] + core + own[5:], 201: own[:5] + core + own[5:8] + ["changed"]}
+    rows += [(i, 1, None, "Hot", " ".join(text[i])) for i in later]
+    assert found(spark, rows) == brute(rows) == sorted((100, i) for i in later)
+
+
+@pytest.mark.parametrize("heavy", [3, 16, 64])
+def test_one_by_one_or_at_once(spark, monkeypatch, heavy):
+    """The result does not depend on how the arrivals are cut into batches, as batches only tell when a row is decided."""
+    monkeypatch.setattr(M, "HEAVY", heavy)
+    rows = [(i, 0 if i < 40 else 1, None, "Hot title", t) for i, _, _, _, t in made(23, 90) if t]
+    want = brute(rows)
+    assert len(want) > 10 and found(spark, rows) == want
+    split = [(i, 0 if b == 0 else i, u, t, c) for i, b, u, t, c in rows if i < 44]
+    assert found(spark, split) == [p for p in want if p[1] < 44]
+
+
+def test_store_opens_in_another_application(spark, tmp_path):
+    """One process takes in history and a batch; another finds, appends, merges the runs and removes what no longer counts."""
+    rows = made(31, 60)
+    code = """
+import sys
+sys.path[:0] = %r
+import tests.llm.test_mentions as t
+from pyspark.sql import SparkSession
+from tidewright.llm import mentions as M
+spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    .config("spark.checkpoint.dir", "file://%s/scratch").getOrCreate())
+store, rows = M.AcceptedMentions(spark, "file://%s/store"), t.made(31, 60)
+for k in (0, 1):
+    store.ingest(M.prepare(spark.createDataFrame([(*r, 1, "x", 2) for r in rows if (r[1] or 0) == k], t.SCHEMA)), f"b{k}", history=k == 0)
+""" % (sys.path[:6], tmp_path, tmp_path)
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+    store = M.AcceptedMentions(spark, f"file://{tmp_path}/store")
+    frame = lambda k: M.prepare(spark.createDataFrame([(*r, 1, "x", 2) for r in rows if (r[1] or 0) == k], SCHEMA))
+    assert store.ingest(frame(1), "b1").count() == 0
+    got = [tuple(r) for k in (2, 3) for r in store.ingest(frame(k), f"b{k}").collect()]
+    late = {r[0] for r in rows if (r[1] or 0) > 1}
+    assert sorted(got) == [p for p in brute(rows) if p[1] in late] and got
+    before = (store.keys().count(), store.texts().count())
+    store.compact(every=True)
+    store.vacuum()
+    assert (store.keys().count(), store.texts().count()) == before and len(store.manifest.read()[1]["runs"]) == 1
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(1, 0, None, "T", "one two three four five"), (2, 1, None, "T", "one two three four five"), (2, 1, None, "T", "one two three four five"), (None, 1, None, "T", "one two three four five")]
+    assert found(spark, rows) == [(1, 2)]

@@ -1,10 +1,11 @@
 """New mentions against all accepted ones (problem 1).
 
-Method: content-defined chunking. Rolling-hash boundaries cut the normalized text of a mention into chunks; a persistent table leads from
-chunk hash to text; the bytes of the chunks that two texts share, over the bytes of the shorter, are their coverage. Pairs of enough
-coverage pass on to the exact rule on words. Chunk hashes are salted with the normalized title, as only texts of equal titles can repeat
-each other, so stock phrases do not meet across titles. What a batch accepts is appended; history is never chunked, compared or resolved
-again: of the stored chunks only hashes are read, in buckets that need no shuffle.
+Method: content-defined chunking. Rolling-hash boundaries cut the normalized words of a mention into chunks; a persistent table leads from
+chunk hash to the accepted citation; the bytes of the chunks that two texts share, over the bytes of the shorter, are their coverage, and only
+pairs of enough coverage pass on to the exact rule on words. Chunk hashes are salted with the normalized title, as only texts of equal titles can
+repeat each other, so stock phrases do not meet across titles, and a text whose title nothing else has asks for no chunk at all. What a batch
+accepts is appended as one run; history is never chunked, compared or resolved again, and of the stored rows only those of the batch's titles and
+keys go on to a join.
 
 Equal texts are one class, held once with its first accepted citation, so a group of copies costs one row of each table.
 """
@@ -18,11 +19,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tidewright.operators.manifest import Manifest
-from tidewright.session import delete_path, materialize, scratch_path, shuffle_partitions
+from tidewright.session import delete_path, scratch_path, spread
 
 #: Parameters that track the way to a page and do not choose it.
 TRACKING = re.compile(
@@ -41,14 +43,20 @@ BRACKETED_END = re.compile(r"\s*[\[({【][^\])}】]{1,40}[\])}】]\s*$")
 PREFIX = re.compile(r"^\s*(?:re|fwd?|aw|wg|rv|tr|repost|crosspost|cross-post|x-?post|update[d]?|edit(?:ed)?|ask hn|show hn|tell hn|psa|via)\s*(?:\[\d+\]|\(\d+\))?\s*:\s*", re.I)
 SITE_END = re.compile(r"\s+(?:\||::|»|·|•|—|–)\s*[^|]{1,40}$|\s+-\s+[^\W\d_]+(?:\.\w+)?\s*$")
 
-#: Two grains of chunks, as (bytes on average, bytes of the rolling window): the small ones survive where every fifth word is changed, the large
-#: ones tell texts apart that are made of the same stock phrases.
-GRAINS = ((8, 3), (24, 6))
-COVERAGE = 0.05  # nominates pairs for the exact rule; the least coverage of true pairs under random edits was 0.08
-HEAVY = 64  # a chunk of more texts nominates the first of them; all others that hold such chunks are compared in blocks, without chunks
+#: Grains of chunks as (fewest words, most words, bytes on average, bytes of the rolling window). Two texts that can repeat each other have at most
+#: twice as many words as one another, so whatever the shorter's range is, the other has chunks of that grain, too. The first grain cuts behind every
+#: blank: where a text has a handful of words, larger chunks might share nothing though four of five words stand.
+GRAINS = ((1, 16, 0, 1), (9, 64, 4, 2), (33, 1 << 62, 8, 3))
+COVERAGE = 0.1  # share of the shorter text's bytes that nominates a pair; under random edits at the limit of the rule the least was 0.17
+HEAVY = 64  # a chunk of more texts of a title nominates the first of them; all that hold such chunks are compared in blocks, by words
 BLOCK = 512  # texts on each side of a block
+FEW = 100_000  # rows of a batch up to which hashes of its titles and keys are broadcast, 8 bytes each; beyond, the joins shuffle
+FAN = 8  # runs of like size that are merged into one
 SHARE, LENGTHS = 0.8, 0.5
-_GEAR = np.frombuffer(hashlib.shake_256(b"tidewright gear").digest(256 * 8), dtype=np.uint64)
+_GEAR, _BYTE = np.frombuffer(hashlib.shake_256(b"tidewright gear").digest(512 * 8), dtype=np.uint64).reshape(2, 256)
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+SLICE = 1 << 20  # bytes of texts that are cut at once
 
 
 def page_key(url: str | None) -> str | None:
@@ -112,31 +120,72 @@ def title_key(title: str | None) -> str:
     return " ".join(plain_words(t))
 
 
-def chunk_ends(data: bytes, modulus: int = GRAINS[0][0], window: int = GRAINS[0][1]) -> list[int]:
-    """Ends of the content-defined chunks: where the rolling hash of the last bytes divides evenly. Equal stretches cut alike wherever they stand."""
-    if not data:
-        return []
-    g = _GEAR[np.frombuffer(data, dtype=np.uint8)]
-    h = g.copy()
-    for k in range(1, min(window, len(g))):
-        h[k:] += g[:-k] << np.uint64(k)
-    ends = (np.nonzero((h >> np.uint64(7)) % np.uint64(modulus) == 0)[0] + 1).tolist()
-    if not ends or ends[-1] != len(data):
-        ends.append(len(data))
-    return ends
-
-
-def chunks_of(key: str, words: list[str]) -> list[tuple[int, int]]:
-    """Distinct (hash, bytes) of a text's chunks. The title at the opening counts like all words, as the rule counts it: it alone can make a repeat."""
-    data = " ".join(words).encode("utf-8", "surrogatepass")
-    out = {}
-    for modulus, window in GRAINS:
-        salt, start = f"{modulus}\0{key}\0".encode("utf-8", "surrogatepass"), 0
-        for end in chunk_ends(data, modulus, window):
-            piece = data[start:end]
-            out[xxhash.xxh64_intdigest(salt + piece) - (1 << 63)] = len(piece)
-            start = end
-    return list(out.items())
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def cut(data: np.ndarray, starts: np.ndarray, modulus: int, window: int) -> np.ndarray:
+    """Ends of the content-defined chunks of texts that lie one after another: where the rolling hash of the last bytes divides evenly, and at
+    each text's end. Equal stretches cut alike wherever they stand. Modulus 0 cuts behind blanks."""
+    if modulus:
+        g = _GEAR[data]
+        h, place = g.copy(), np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        for k in range(1, window):
+            h[k:] += np.where(place[k:] >= k, g[:-k] << np.uint64(k), np.uint64(0))
+        at = (h >> np.uint64(7)) % np.uint64(modulus) == 0
+    else:
+        at = data == 32
+    at[np.append(starts[1:], len(data)) - 1] = True
+    return np.nonzero(at)[0] + 1
+
+
+def chunk_rows(texts: list[bytes], salts: np.ndarray, modulus: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, bytes) of the distinct chunks of each text. The hash is a polynomial of the chunk's bytes, salted and mixed."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    starts = np.append(0, np.cumsum([len(x) for x in texts], dtype=np.int64)[:-1])
+    ends = cut(data, starts, modulus, window)
+    begins = np.append(0, ends[:-1])
+    power = np.full(len(data), _BASE, dtype=np.uint64)
+    power[0] = 1
+    total = np.append(np.uint64(0), np.cumsum(_BYTE[data] * np.cumprod(power, dtype=np.uint64), dtype=np.uint64))
+    back = np.full(len(data) + 1, _BACK, dtype=np.uint64)
+    back[0] = 1
+    value = (total[ends] - total[begins]) * np.cumprod(back, dtype=np.uint64)[begins]
+    of = np.searchsorted(starts, begins, side="right") - 1
+    size = ends - begins
+    value = _mixed(value + _mixed(salts[of] + np.uint64(modulus)) + size.astype(np.uint64)).view(np.int64)
+    order = np.lexsort((value, of))
+    of, value, size = of[order], value[order], size[order]
+    new = np.append(True, (of[1:] != of[:-1]) | (value[1:] != value[:-1]))
+    return of[new], value[new], size[new]
+
+
+def chunked(texts: list[bytes], salts: list[int], words: list[int]) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
+    """Of each text the hashes and bytes of its chunks in the grains its number of words asks for, and the bytes that coverage is measured by: those
+    of the grain with the fewest. The title at the opening counts like all words, as the rule counts it: it alone can make a repeat."""
+    hashes: list[list] = [[] for _ in texts]
+    sizes: list[list] = [[] for _ in texts]
+    least = [0] * len(texts)
+    for fewest, most, modulus, window in GRAINS:
+        mine = [i for i, n in enumerate(words) if fewest <= n <= most]
+        at = 0
+        while at < len(mine):
+            part, held = [], 0
+            while at < len(mine) and (not part or held + len(texts[mine[at]]) <= SLICE):
+                part.append(mine[at])
+                held += len(texts[mine[at]])
+                at += 1
+            of, value, size = chunk_rows([texts[i] for i in part], np.array([salts[i] & (2**64 - 1) for i in part], dtype=np.uint64), modulus, window)
+            edge = np.searchsorted(of, np.arange(len(part) + 1))
+            for k, i in enumerate(part):
+                hashes[i].append(value[edge[k] : edge[k + 1]])
+                sizes[i].append(size[edge[k] : edge[k + 1]])
+                n = int(sizes[i][-1].sum())
+                least[i] = min(least[i], n) if least[i] else n
+    none = np.zeros(0, dtype=np.int64)
+    return [np.concatenate(x) if x else none for x in hashes], [np.concatenate(x) if x else none for x in sizes], least
 
 
 def in_order(a: list[str], b: list[str]) -> int:
@@ -158,35 +207,56 @@ def repeats(a: list[str], b: list[str]) -> bool:
     return bool(short) and 2 * short >= long and 5 * in_order(a, b) >= 4 * short
 
 
-#: The one table of the store: rows of three kinds, found by a hash.
-ROWS = "h long, kind int, t string, n long, b int, m long, title_key string, text string"
-CHUNK, TEXT, KEY = 0, 1, 2
-PREPARED = "u string, t string, title_key string, text string, chunks array<struct<h:bigint,len:int>>"
+PREPARED = "id long, batch int, u string, t string, th long, title_key string, text string, bytes long, hs array<bigint>, lens array<bigint>"
 
 
-def _prepared(url: pd.Series, title: pd.Series, context: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b, c in zip(url, title, context):
-        page, key, words = page_key(a), title_key(b), plain_words(c)
-        u = "u" + hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest() if page else None
-        if not key or not words:
-            rows.append((u, None, None, None, []))
-            continue
-        text = " ".join(words)
-        t = "t" + hashlib.md5(f"{key}\0{text}".encode("utf-8", "surrogatepass")).hexdigest()
-        rows.append((u, t, key, text, [{"h": h, "len": n} for h, n in chunks_of(key, words)]))
-    return pd.DataFrame(rows, columns=["u", "t", "title_key", "text", "chunks"])
+def prepare(rows: DataFrame) -> DataFrame:
+    """citation_id, ingest_batch, page key, class, title key, words and chunks of each citation; row by row, without history.
+
+    Rows without citation_id are left out, as nothing could name them."""
+    plain = rows.where("citation_id is not null").select(
+        F.col("citation_id").cast("long").alias("id"), F.coalesce(F.col("ingest_batch").cast("int"), F.lit(0)).alias("batch"), "source_url", "title", "mention_context"
+    )
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in (2, 3, 4)]
+            pages, classes, titles, keys, texts, data, counts = [], [], [], [], [], [], []
+            for url, title, context in zip(*cols):
+                page, key, words = page_key(url), title_key(title), plain_words(context)
+                pages.append("u" + hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest() if page else None)
+                if not key or not words:
+                    for out in (classes, titles, keys, texts):
+                        out.append(None)
+                    data.append(b"")
+                    counts.append(0)
+                    continue
+                text = " ".join(words)
+                name, raw = key.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")
+                classes.append("t" + hashlib.md5(name + b"\0" + raw).hexdigest())
+                titles.append(xxhash.xxh64_intdigest(name) - (1 << 63))
+                keys.append(key)
+                texts.append(text)
+                data.append(raw)
+                counts.append(len(words))
+            hashes, sizes, least = chunked(data, [x or 0 for x in titles], counts)
+            offsets = pa.array(np.append(0, np.cumsum([len(x) for x in hashes], dtype=np.int64)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (hashes, sizes)]
+            arrays = [batch.column(0), batch.column(1), pa.array(pages, pa.string()), pa.array(classes, pa.string()), pa.array(titles, pa.int64()), pa.array(keys, pa.string()), pa.array(texts, pa.string()), pa.array(least, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "batch", "u", "t", "th", "title_key", "text", "bytes", "hs", "lens"])
+
+    return plain.mapInArrow(run, PREPARED)
 
 
 def _repeats(ka: pd.Series, a: pd.Series, kb: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x == y and repeats(s.split(" "), t.split(" ")) for x, s, y, t in zip(ka, a, kb, b)], dtype=bool)
 
 
-BLOCKED = "t string, other string, own boolean"
+NEAR = "t string, own boolean, other string, b int, n long"
 
 
 def _blocked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """(t, other, own) of the texts of two blocks of one title that repeat each other; own: other is of the batch as well.
+    """NEAR of the texts of two blocks of one title that repeat each other.
 
     The rule needs four fifths of the words of the shorter in order, so at least as many in common; only pairs that have them reach it.
     """
@@ -196,9 +266,10 @@ def _blocked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         for x in _numbered(words):
             held.setdefault(x, []).append(j)
     at = {x: np.array(js) for x, js in held.items()}
-    size, other, stored, b, n = np.array([len(w) for w in texts], dtype=np.int64), right["t"].to_numpy(), right["stored"].to_numpy(dtype=bool), right["b"].to_numpy(), right["n"].to_numpy()
+    size, other, stored = np.array([len(w) for w in texts], dtype=np.int64), right["t"].to_numpy(), ~right["own"].to_numpy(dtype=bool)
+    b, n, title = right["b"].to_numpy(), right["n"].to_numpy(), right["title_key"].to_numpy()
     out = []
-    for t, text, b_own, n_own, known, b_known, n_known in left[["t", "text", "b", "n", "known", "b_known", "n_known"]].itertuples(index=False):
+    for t, key, text, b_own, n_own, known, b_known, n_known in left[["t", "title_key", "text", "b", "n", "known", "b_known", "n_known"]].itertuples(index=False):
         words = text.split(" ")
         hits = [at[x] for x in _numbered(words) if x in at]
         if not hits:
@@ -210,10 +281,16 @@ def _blocked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             asked = stored | (b < b_own) | ((b == b_own) & (n < n_own))
         short, long = np.minimum(size, len(words)), np.maximum(size, len(words))
         common = np.bincount(np.concatenate(hits), minlength=len(texts))
-        for j in np.nonzero(asked & (other != t) & (2 * short >= long) & (5 * common >= 4 * short))[0]:
+        passed = np.nonzero(asked & (other != t) & (title == key) & (2 * short >= long) & (5 * common >= 4 * short))[0]
+        # Stored ones in order of arrival: all are accepted, so the first that is repeated is the one to report.
+        for j in sorted(passed[stored[passed]], key=lambda j: (b[j], n[j])):
+            if repeats(words, texts[j]):
+                out.append((t, False, other[j], b[j], n[j]))
+                break
+        for j in passed[~stored[passed]]:
             if repeats(words, texts[j]):
-                out.append((t, other[j], not stored[j]))
-    return pd.DataFrame(out, columns=["t", "other", "own"])
+                out.append((t, True, other[j], b[j], n[j]))
+    return pd.DataFrame(out, columns=["t", "own", "other", "b", "n"])
 
 
 def _numbered(words: list[str]) -> list[tuple[str, int]]:
@@ -227,140 +304,189 @@ def _numbered(words: list[str]) -> list[tuple[str, int]]:
     return out
 
 
-def prepare(rows: DataFrame) -> DataFrame:
-    """citation_id, ingest_batch, page key, class, title key, words and chunks of each citation; row by row, without history."""
-    p = rows.select("citation_id", "ingest_batch", F.pandas_udf(_prepared, PREPARED)("source_url", "title", "mention_context").alias("p"))
-    return p.select(F.col("citation_id").cast("long").alias("id"), F.coalesce(F.col("ingest_batch").cast("int"), F.lit(0)).alias("batch"), "p.*")
+KEY, TEXT, CHUNK = 0, 1, 2
+ROWS = "th long, h long, n long, b int, bytes long, key string, title_key string, text string"
 
 
 class AcceptedMentions:
-    """The accepted citations as one table under `root`, bucketed by hash, with three kinds of rows: keys (page key or text class -> first
-    accepted citation), texts (class -> words) and chunks (chunk hash -> class).
+    """The accepted citations under `root`: keys (page key or text class -> first accepted citation), texts (citation -> words) and the
+    chunk-to-record table (chunk hash -> citation). All are plain files, read by path, so any application can open the store.
+
+    A batch adds one run, in directories by kind and by range of the title's (keys: the key's) hash. A batch reads the ranges of its own titles
+    only, and of these only the rows of its titles go on. Runs of like size are merged, `FAN` at a time, so files stay few and each row is written
+    again a logarithmic number of times.
 
     A null or blank address leads nowhere; a title without words, a null one, or a mention without words repeats no text. Of several accepted
     citations that a row repeats, the lowest is reported. Rows of one batch are decided in the order of citation_id, as if one by one. A null
-    ingest_batch counts as history. A batch that was taken in before is not taken in again.
+    ingest_batch counts as history. A citation that comes again with the same citation_id, address and text is the same citation. A batch that was taken in before
+    is not taken in again.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, ranges: int = 4):
         self.spark = spark
         self.root = root or scratch_path(spark, "mentions")
         self.manifest = Manifest(spark, self.root)
-        version, state = self.manifest.read()
+        version, _ = self.manifest.read()
         if not version:
-            self.manifest.commit(0, {"buckets": buckets or shuffle_partitions(spark), "parts": []})
-
-    @property
-    def _table(self) -> str:
-        return f"tw_mentions_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}"
-
-    def _stored(self, kind: int, *columns: str) -> DataFrame:
-        parts = self.manifest.read()[1]["parts"]
-        if not parts:
-            return self.spark.createDataFrame([], ROWS).selectExpr(*columns)
-        return self.spark.table(self._table).where(F.col("part").isin(parts) & (F.col("kind") == kind)).selectExpr(*columns)
+            self.manifest.commit(0, {"ranges": ranges, "next": 0, "runs": [], "applied": []})
+
+    # ------------------------------------------------------------ storage
+    def _stored(self, kind: int, ranges: set | None = None) -> DataFrame:
+        """Rows of a kind in the given ranges of hashes (all, if none are given)."""
+        _, state = self.manifest.read()
+        wanted = range(state["ranges"]) if ranges is None else sorted(ranges)
+        paths = [f"{self.root}/run={r['run']}/kind={kind}/p={p}" for r in state["runs"] for p in wanted if [kind, p] in r["parts"]]
+        if not paths:
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema(ROWS).parquet(*paths)
 
     def keys(self) -> DataFrame:
-        return self._stored(KEY, "h", "t as key", "named_struct('b', b, 'id', n) as o")
+        return self._stored(KEY).select("key", F.struct("b", "n").alias("o"))
 
     def texts(self) -> DataFrame:
-        return self._stored(TEXT, "h", "t", "title_key", "text")
+        return self._stored(TEXT).select("n", "title_key", "text")
 
-    def chunks(self) -> DataFrame:
-        return self._stored(CHUNK, "h", "t", "m as bytes", "named_struct('b', b, 'id', n) as o")
+    def _write_run(self, rows: DataFrame, run: int) -> dict:
+        """rows: ROWS, kind, p. Files of bounded size, in order of hash; a range that a hot title fills is split over tasks."""
+        path = f"{self.root}/run={run}"
+        delete_path(self.spark, path)  # a run that a failed attempt left behind
+        count = Observation()
+        rows = rows.hint("rebalance", "kind", "p").sortWithinPartitions("kind", "p", "th", "h")
+        rows.observe(count, F.count("*").alias("rows"), F.collect_set(F.struct("kind", "p")).alias("parts")).write.partitionBy("kind", "p").parquet(path)
+        return {"run": run, "rows": count.get["rows"], "parts": sorted([x["kind"], x["p"]] for x in count.get["parts"])}
 
     def _append(self, accepted: DataFrame, classes: DataFrame, part: str) -> None:
-        """accepted: o, u, t. classes: the texts of the batch. One write, in buckets of h, so that a join with a batch moves the batch only."""
+        """accepted: o, u, t. classes: the texts of the batch. What is stored of a class goes by its first accepted citation."""
         version, state = self.manifest.read()
-        none = F.lit(None).cast("string")
-        known = self.texts().select("h", "t")
-        first = accepted.where("t is not null").groupBy("t").agg(F.min("o").alias("o"))
-        new = classes.drop("o").join(first, "t").withColumn("h", F.xxhash64("t")).join(known, ["h", "t"], "left_anti")
-        own = F.struct(F.col("h"), F.lit(TEXT).alias("kind"), F.col("title_key"), F.col("text"))
-        cut = F.transform("chunks", lambda c: F.struct(c["h"].alias("h"), F.lit(CHUNK).alias("kind"), none.alias("title_key"), none.alias("text")))
-        texts = new.select("t", "o", F.col("bytes").alias("m"), F.explode(F.concat(cut, F.array(own))).alias("r")).select("r.h", "r.kind", "t", F.col("o.id").alias("n"), "o.b", "m", "r.title_key", "r.text")
-        keys = self._first_of(accepted).select(F.xxhash64("key").alias("h"), F.lit(KEY).alias("kind"), F.col("key").alias("t"), F.col("o.id").alias("n"), F.col("o.b").alias("b"), F.lit(0).cast("long").alias("m"), none.alias("title_key"), none.alias("text"))
-        delete_path(self.spark, f"{self.root}/rows/part={part}")
-        rows = texts.unionByName(keys).repartition(state["buckets"], "h").withColumn("part", F.lit(part))
-        rows.write.mode("append").option("path", f"{self.root}/rows").partitionBy("part").bucketBy(state["buckets"], "h").sortBy("kind", "h").saveAsTable(self._table)
-        self.manifest.commit(version, state | {"parts": [*state["parts"], part]})
-
-    def near(self, classes: DataFrame) -> DataFrame:
-        """(t, other) of different texts that repeat each other; t of the batch, other of the store or the batch. classes: t, o, title_key, text, bytes, chunks.
-
-        A chunk that more than HEAVY texts share - a stock phrase, or a piece of a text of which there are many versions - would pair all of them
-        once for each such chunk. It nominates the first of them only, and the texts that hold such chunks are compared in blocks.
+        p = lambda c: F.pmod(c, F.lit(state["ranges"])).cast("int").alias("p")
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        first = accepted.where("t is not null").groupBy("t").agg(F.min("o").alias("_o"))
+        own = F.array(F.struct(F.lit(TEXT).alias("kind"), F.lit(None).cast("long").alias("h"), F.col("title_key"), F.col("text")))
+        chunks = F.transform("hs", lambda h: F.struct(F.lit(CHUNK).alias("kind"), h.alias("h"), F.lit(None).cast("string").alias("title_key"), F.lit(None).cast("string").alias("text")))
+        texts = classes.join(first, "t").select("th", F.col("_o.n").alias("n"), F.col("_o.b").alias("b"), "bytes", F.explode(F.concat(own, chunks)).alias("r"))
+        texts = texts.select("th", "r.h", "n", "b", "bytes", none("string", "key"), "r.title_key", "r.text", "r.kind", p(F.col("th")))
+        hashed = self._first_of(accepted).withColumn("th", F.xxhash64("key"))
+        keys = hashed.select("th", none("long", "h"), "o.n", "o.b", none("long", "bytes"), "key", none("string", "title_key"), none("string", "text"), F.lit(KEY).alias("kind"), p(F.col("th")))
+        run = self._write_run(texts.unionByName(keys), state["next"])
+        self.manifest.commit(version, state | {"next": state["next"] + 1, "runs": [*state["runs"], run], "applied": [*state["applied"], part]})
+        self.compact()
+
+    def compact(self, every: bool = False) -> None:
+        """Merges the last runs into one, sorted again, while there are `FAN` of like size, or all of them; nothing is decided anew."""
+        while True:
+            version, state = self.manifest.read()
+            runs = state["runs"]
+            tier = lambda r: len(np.base_repr(max(1, r["rows"]), FAN))
+            last = runs if every else runs[-FAN:]
+            if len(last) < 2 or not every and (len(last) < FAN or len({tier(r) for r in last}) > 1):
+                return
+            path = self.spark.read.option("basePath", self.root).schema(f"{ROWS}, run int, kind int, p int")
+            rows = path.parquet(*[f"{self.root}/run={r['run']}" for r in last]).drop("run")
+            run = self._write_run(rows, state["next"])
+            self.manifest.commit(version, state | {"next": state["next"] + 1, "runs": [*runs[: -len(last)], run]})
+
+    def vacuum(self) -> None:
+        """Removes the runs that no longer count and the lists of cases. Not while others read an older state or a list."""
+        _, state = self.manifest.read()
+        live = {r["run"] for r in state["runs"]}
+        for k in range(state["next"]):
+            delete_path(self.spark, f"{self.root}/_work-{k}")
+            if k not in live:
+                delete_path(self.spark, f"{self.root}/run={k}")
+
+    # ------------------------------------------------------------ candidates
+    @staticmethod
+    def _only(rows: DataFrame, hashes: DataFrame, few: bool) -> DataFrame:
+        """Rows of the given title or key hashes: read in place where the hashes are few enough to be sent around."""
+        hashes = hashes.select("th").distinct()
+        return rows.join(F.broadcast(hashes) if few else hashes, "th", "left_semi")
+
+    def _probes(self, classes: DataFrame, ranges: set, few: bool, write) -> tuple[DataFrame, int, int]:
+        """The classes whose title another text has, in the batch or in the store, as no other can repeat a different text; how many they are; and
+        the most texts of a title."""
+        titles = classes.groupBy("th").agg(F.count("*").alias("texts"))
+        stored = self._only(self._stored(TEXT, ranges).select("th"), titles, few).groupBy("th").agg(F.count("*").alias("texts"))
+        shared = titles.unionByName(stored).groupBy("th").agg(F.sum("texts").alias("texts")).where("texts > 1")
+        probes, seen = write(classes.join(F.broadcast(shared) if few else shared, "th"), "probes", F.max("texts").alias("most"))
+        return probes.drop("texts"), seen["rows"], seen["most"] or 0
+
+    def _near(self, probes: DataFrame, hits, most: int, ranges: set, few: bool, write) -> DataFrame:
+        """NEAR: (t, other) of different texts that repeat each other, t of the batch; other is a class of the batch (own) or a stored citation (b, n).
+
+        A chunk that more than HEAVY texts of a title share - a stock phrase, or a piece of a text of which there are many versions - would pair all
+        of them once for each such chunk. It nominates the first of them only, and the texts that hold such chunks are compared in blocks.
         """
-        probe = classes.select("t", "bytes", F.explode("chunks").alias("c")).select(F.col("t").alias("a"), F.col("bytes").alias("a_bytes"), "c.h", "c.len")
-        own = classes.select(F.explode("chunks.h").alias("h"), "t", "bytes", "o")
-        # Stored and own chunks are joined apart and only the results put together: so the stored ones are read in their buckets and not moved.
-        sides = (self.chunks(), own)
-        joined = lambda hashes, how="inner": sides[0].join(hashes, "h", how).unionByName(sides[1].join(hashes, "h", how))
-        asked = own.select("h").distinct()
-        each = [x.groupBy("h").agg(F.count("*").alias("texts"), F.min(F.struct("o", "t", "bytes")).alias("first")) for x in (sides[0].join(asked, "h", "left_semi"), own)]
-        count = each[0].unionByName(each[1]).groupBy("h").agg(F.sum("texts").alias("texts"), F.min("first").alias("first"))
-        count = materialize(count, "counts")
-        light, heavy = count.where(F.col("texts") <= HEAVY).select("h"), count.where(F.col("texts") > HEAVY)
-        post = lambda rows: rows.select("h", F.col("t").alias("b"), F.col("bytes").alias("b_bytes"))
-        some = post(joined(light)).unionByName(heavy.select("h", F.col("first.t").alias("b"), F.col("first.bytes").alias("b_bytes")))
-        found = materialize(self._verified(self._covered(probe.join(some, "h"), COVERAGE), classes), "near")
-        if heavy.isEmpty():
-            return found
-        return found.unionByName(self._near_in_blocks(classes, own, heavy.select("h"), found)).distinct()
-
-    def _near_in_blocks(self, classes: DataFrame, own: DataFrame, heavy: DataFrame, found: DataFrame) -> DataFrame:
-        """(t, other) as of near, of the texts that hold heavy chunks: every pair of a title, but those that cannot change what is reported."""
-        new = own.join(heavy, "h", "left_semi").select("t", "o").distinct().join(classes.select("t", "title_key", "text"), "t")
-        old = self.chunks().join(heavy, "h", "left_semi").select("t", "o").distinct().withColumn("h", F.xxhash64("t"))
-        old = materialize(self.texts().join(old, ["h", "t"]).select("t", "o", "title_key", "text"), "heavy_old")
+        chunks = probes.select("t", "th", "b", "n", "bytes", F.explode(F.arrays_zip("hs", "lens")).alias("c")).select("t", "th", "b", "n", "bytes", "c.hs", "c.lens")
+        own = chunks.select("th", F.col("hs").alias("h"), F.lit(True).alias("own"), F.col("t").alias("other"), "b", "n", "bytes")
+        stored = self._only(self._stored(CHUNK, ranges).select("th", "h", "b", "n", "bytes"), probes, few)
+        posts = own.unionByName(stored.select("th", "h", F.lit(False).alias("own"), F.lit("").alias("other"), "b", "n", "bytes"))
+        heavy, light = None, posts
+        if most > HEAVY:
+            posts, _ = write(posts, "posts")
+            first = F.min(F.struct("b", "n", "own", "other", "bytes")).alias("first")
+            counts = posts.groupBy("th", "h").agg(F.count("*").alias("texts"), F.max("own").alias("asked"), first)
+            heavy, seen = write(counts.where((F.col("texts") > HEAVY) & F.col("asked")).select("th", "h", "first"), "heavy")
+            heavy = heavy if seen["rows"] else None
+        if heavy is not None:
+            lone = heavy.select("th", "h", *[F.col(f"first.{c}").alias(c) for c in ("own", "other", "b", "n", "bytes")])
+            light = posts.join(heavy.select("th", "h"), ["th", "h"], "left_anti").unionByName(lone)
+        asked = chunks.select(F.col("t").alias("a"), F.col("bytes").alias("a_bytes"), "th", F.col("hs").alias("h"), F.col("lens").alias("len"))
+        met = asked.join(light, ["th", "h"]).where("other <> a")
+        # A pair within the batch is the same from both sides.
+        turned = F.col("own") & (F.col("a") > F.col("other"))
+        met = met.select("th", "own", "b", "n", "len", F.least("a_bytes", "bytes").alias("of"), turned.alias("turned"), F.when(turned, F.col("other")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("other")).alias("other"))
+        side = lambda x: F.coalesce(F.sum(F.when(F.col("turned") == x, F.col("len"))), F.lit(0))
+        stored_only = lambda c: F.when(~F.col("own"), F.col(c)).alias(c)
+        cover = met.groupBy("th", "a", "own", "other", stored_only("b"), stored_only("n")).agg(F.greatest(side(True), side(False)).alias("shared"), F.min("of").alias("of"))
+        near, _ = write(self._verified(cover.where(F.col("shared") >= COVERAGE * F.col("of")), probes, ranges, few), "near")
+        if heavy is None:
+            return near
+        return near.unionByName(self._near_in_blocks(probes, posts, heavy.select("th", "h"), near, hits, ranges, few, write)).distinct()
+
+    def _verified(self, pairs: DataFrame, probes: DataFrame, ranges: set, few: bool) -> DataFrame:
+        """NEAR of the pairs that the rule on words holds for."""
+        left = pairs.join(probes.select(F.col("t").alias("a"), F.col("title_key").alias("ka"), F.col("text").alias("ta")), "a")
+        right = probes.select(F.col("t").alias("other"), F.col("title_key").alias("kb"), F.col("text").alias("tb"))
+        stored = self._only(self._stored(TEXT, ranges), probes, few).select("th", "n", F.col("title_key").alias("kb"), F.col("text").alias("tb"))
+        columns = ["a", "own", "other", "b", "n", "ka", "ta", "kb", "tb"]
+        rows = left.where("own").join(right, "other").select(*columns).unionByName(left.where("not own").join(stored, ["th", "n"]).select(*columns))
+        kept = rows.where(F.pandas_udf(_repeats, "boolean")("ka", "ta", "kb", "tb"))
+        both = F.when(F.col("own"), F.array(F.struct(F.col("a").alias("t"), "other"), F.struct(F.col("other").alias("t"), F.col("a").alias("other")))).otherwise(F.array(F.struct(F.col("a").alias("t"), "other")))
+        return kept.select("own", "b", "n", F.explode(both).alias("p")).select("p.t", "own", "p.other", "b", "n")
+
+    def _near_in_blocks(self, probes: DataFrame, posts: DataFrame, heavy: DataFrame, near: DataFrame, hits, ranges: set, few: bool, write) -> DataFrame:
+        """NEAR of the texts that hold heavy chunks: every pair of a title, but those that cannot change what is reported."""
+        holders = posts.join(heavy, ["th", "h"], "left_semi").select("th", "own", "other", "b", "n").distinct()
+        text = self._only(self._stored(TEXT, ranges), probes, few).select("th", "n", "title_key", "text")
+        old, _ = write(holders.where("not own").select("th", "b", "n").join(text, ["th", "n"]), "heavy_old")
         # The first accepted citation that a text is known to repeat; it is a case then, whatever else is found.
-        asked = found.select("t", F.col("other").alias("key")).unionByName(new.select("t", F.col("t").alias("key"))).withColumn("h", F.xxhash64("key"))
-        known = self.keys().join(asked, ["h", "key"]).groupBy("t").agg(F.min("o").alias("known"))
-        new = materialize(new.join(known, "t", "left"), "heavy_new")
+        hit = hits(near).groupBy(F.col("key").alias("t")).agg(F.min("o").alias("known"))
+        new = holders.where("own").select(F.col("other").alias("t")).join(probes.select("t", "th", "b", "n", "title_key", "text"), "t").join(hit, "t", "left")
+        new, _ = write(new, "heavy_new")
         lone = new.where("known is null")
-        right = old.withColumn("stored", F.lit(True)).unionByName(lone.drop("known").withColumn("stored", F.lit(False)))
-        lowest = old.groupBy("title_key").agg(F.min("o").alias("lowest"))
-        left = new.join(lowest, "title_key", "left").where("known is null or lowest < known").drop("lowest")
-        blocks = lambda rows, name: rows.groupBy("title_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-        count = materialize(blocks(left, "lefts").join(blocks(right, "rights"), "title_key"), "blocks")
-        place = F.abs(F.hash("t")).cast("long")
+        right = old.withColumns({"own": F.lit(False), "t": F.lit("")}).unionByName(lone.drop("known").withColumn("own", F.lit(True)))
+        lowest = old.groupBy("th").agg(F.min(F.struct("b", "n")).alias("lowest"))
+        left = new.join(lowest, "th", "left").where("known is null or lowest < known").drop("lowest")
+        blocks = lambda rows, name: rows.groupBy("th").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        count = blocks(left, "lefts").join(blocks(right, "rights"), "th")
+        count, _ = write(count, "blocks")
+        place = F.abs(F.hash("n", "t")).cast("long")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left, right = (x.join(count, "title_key").withColumns({"b": F.col("o.b"), "n": F.col("o.id")}) for x in (left, right))
-        left = left.withColumns({"i": F.pmod(place, "lefts").cast("int"), "j": every("rights"), "b_known": F.coalesce("known.b", F.lit(0)), "n_known": F.coalesce("known.id", F.lit(0)), "known": F.col("known").isNotNull()})
+        left, right = (x.join(count, "th") for x in (left, right))
+        left = left.withColumns({"i": F.pmod(place, "lefts").cast("int"), "j": every("rights"), "b_known": F.coalesce("known.b", F.lit(0)), "n_known": F.coalesce("known.n", F.lit(0)), "known": F.col("known").isNotNull()})
         right = right.withColumns({"j": F.pmod(place, "rights").cast("int"), "i": every("lefts")})
-        by = ["title_key", "i", "j"]
-        pairs = left.drop("o", "lefts", "rights").groupBy(*by).cogroup(right.drop("o", "lefts", "rights").groupBy(*by)).applyInPandas(_blocked, BLOCKED)
-        pairs = materialize(pairs, "heavy_near")
-        return pairs.select("t", "other").unionByName(pairs.where("own").select(F.col("other").alias("t"), F.col("t").alias("other")))
-
-    @staticmethod
-    def _covered(shared: DataFrame, least: float) -> DataFrame:
-        """(a, b) whose shared chunks cover enough of the shorter."""
-        cover = shared.where("a <> b").groupBy("a", "b").agg(F.sum("len").alias("shared"), F.first(F.least("a_bytes", "b_bytes")).alias("of"))
-        return cover.where(F.col("shared") >= least * F.col("of")).select("a", "b")
-
-    def _verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(t, other) of the pairs that the rule on words holds for. The texts of b are in the batch or in the store, found by their hash."""
-        batch = classes.select(F.xxhash64("t").alias("h"), "t", "title_key", "text")
-        left = classes.select(F.col("t").alias("a"), F.col("title_key").alias("ka"), F.col("text").alias("ta"))
-        pairs = pairs.join(left, "a").withColumn("h", F.xxhash64("b"))
-        right = lambda texts: texts.select("h", F.col("t").alias("b"), F.col("title_key").alias("kb"), F.col("text").alias("tb"))
-        rows = pairs.join(right(self.texts()), ["h", "b"]).unionByName(pairs.join(right(batch), ["h", "b"]))
-        kept = rows.where(F.pandas_udf(_repeats, "boolean")("ka", "ta", "kb", "tb")).select(F.col("a").alias("t"), F.col("b").alias("other"))
-        # A pair within the batch is known from both sides, also where a heavy chunk gave it from one.
-        back = kept.join(classes.select(F.col("t").alias("other")), "other", "left_semi").select(F.col("other").alias("t"), F.col("t").alias("other"))
-        return kept.unionByName(back).distinct()
-
-    def _known(self, rows: DataFrame, near: DataFrame) -> DataFrame:
-        """The stored keys that a batch asks for: its page keys, its classes and those near them."""
-        asked = rows.select(F.explode(F.array("u", "t")).alias("key")).unionByName(near.select(F.col("other").alias("key")))
-        asked = asked.where("key is not null").distinct().withColumn("h", F.xxhash64("key"))
-        return self.keys().join(asked, ["h", "key"]).groupBy("key").agg(F.min("o").alias("o"))
-
+        by = ["th", "i", "j"]
+        pairs = left.drop("lefts", "rights").groupBy(*by).cogroup(right.drop("lefts", "rights").groupBy(*by)).applyInPandas(_blocked, NEAR)
+        pairs, _ = write(pairs, "heavy_near")
+        back = pairs.where("own").select(F.col("other").alias("t"), "own", F.col("t").alias("other"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("long").alias("n"))
+        plain = pairs.withColumns({"b": F.when(~F.col("own"), F.col("b")), "n": F.when(~F.col("own"), F.col("n"))})
+        return plain.unionByName(back)
+
+    # ------------------------------------------------------------ decisions
     @staticmethod
     def _least(rows: DataFrame, keys: DataFrame, near: DataFrame) -> DataFrame:
-        """rows with column least: the first citation under their page key, class, or a class near theirs. keys: key, o."""
-        by_near = near.join(keys, near["other"] == keys["key"]).groupBy("t").agg(F.min("o").alias("o")).select(F.col("t").alias("key"), "o")
+        """rows with column least: the first citation under their page key, class, or a class near theirs. keys: key, o. near: t, other."""
+        by_near = near.join(keys, near["other"] == keys["key"]).select(F.col("t").alias("key"), "o")
         by_text = keys.unionByName(by_near).groupBy("key").agg(F.min("o").alias("o"))
         out = rows.join(keys.select(F.col("key").alias("u"), F.col("o").alias("_u")), "u", "left")
         out = out.join(by_text.select(F.col("key").alias("t"), F.col("o").alias("_t")), "t", "left")
@@ -373,56 +499,70 @@ class AcceptedMentions:
     def ingest(self, prepared: DataFrame, part: str, history: bool = False) -> DataFrame:
         """Takes in one prepared batch; returns (citation_id_a, citation_id_b) of the rows that repeat an accepted citation."""
         empty = self.spark.createDataFrame([], "citation_id_a long, citation_id_b long")
-        if part in self.manifest.read()[1]["parts"]:
+        _, state = self.manifest.read()
+        if part in state["applied"]:
             return empty
-        measured = prepared.withColumn("bytes", F.aggregate("chunks", F.lit(0).cast("long"), lambda s, c: s + c["len"]))
-        texts = F.first(F.struct("title_key", "text", "bytes", "chunks")).alias("x")
-        measured = measured.withColumn("o", F.struct(F.col("batch").alias("b"), "id"))
-        classes = measured.where("t is not null").groupBy("t").agg(texts, F.min("o").alias("o")).select("t", "o", "x.*")
-        rows = prepared.select(F.struct(F.col("batch").alias("b"), "id").alias("o"), "u", "t")
+        work = f"{self.root}/_work-{state['next']}"
+
+        def write(df: DataFrame, name: str, *more) -> tuple[DataFrame, dict]:
+            """Each step is written down before the next uses it several times; a plan of all of them would grow with every round."""
+            seen, schema = Observation(), df.schema
+            df.observe(seen, F.count("*").alias("rows"), *more).write.mode("overwrite").parquet(f"{work}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{work}/{name}"), seen.get
+
+        o = F.struct(F.col("batch").alias("b"), F.col("id").alias("n"))
+        rows = prepared.select(o.alias("o"), "u", "t")
+        kept = F.min_by(F.struct("th", "title_key", "text", "bytes", "hs", "lens"), o).alias("x")
+        classes = prepared.where("t is not null").groupBy("t").agg(kept, F.min(o).alias("o")).select("t", "x.*", "o.b", "o.n")
         if history:
             self._append(rows, classes, part)
             return empty
-        classes = materialize(classes, "classes")
-        near = materialize(self.near(classes), "near")
-        # Each step is written down before the next uses it several times; a plan of all of them would grow with every round.
-        known = materialize(self._known(rows, near), "known")
-        seen = materialize(self._least(rows, known, near), "seen")
-        cases, taken = [seen.where("least is not null")], []
+        p = lambda c: F.collect_set(F.pmod(c, F.lit(state["ranges"])))
+        size = prepared.agg(F.count("*").alias("rows"), p(F.col("th")).alias("titles"), p(F.xxhash64("u")).alias("u"), p(F.xxhash64("t")).alias("t")).first()
+        few, ranges = size["rows"] <= FEW, {int(x) for x in size["titles"]}
+        classes, _ = write(classes, "classes")
+        each = rows.select("o", "u", "t", F.explode(F.array("u", "t")).alias("key")).withColumn("th", F.when(F.col("key").isNotNull(), F.xxhash64("key")))
+        stored = self._only(self._stored(KEY, {int(x) for x in size["u"] + size["t"]}).select("th", "key", "b", "n"), each, few).select("key", F.struct("b", "n").alias("o"))
+
+        def hits(near: DataFrame) -> DataFrame:
+            """(key, o): stored citations under a page key, a class, or near a class."""
+            return stored.unionByName(near.where("not own").select(F.col("t").alias("key"), F.struct("b", "n").alias("o")))
+
+        probes, probing, most = self._probes(classes, ranges, few, write)
+        near = self._near(probes, hits, most, ranges, few, write) if probing else self.spark.createDataFrame([], NEAR)
+        seen = each.join(hits(near).groupBy("key").agg(F.min("o").alias("least")), "key", "left").groupBy("o", "u", "t").agg(F.min("least").alias("least"))
+        seen, _ = write(seen, "seen")
+        cases, taken, near, k = [seen.where("least is not null")], [], near.where("own").select("t", "other").distinct(), 0
         waiting = seen.where("least is null").drop("least")
         while True:
             # Open rows below all open rows that they could repeat are accepted; open rows that repeat one of those are cases.
-            tried = materialize(self._least(waiting, self._first_of(waiting), near), "tried")
+            tried = self._least(waiting, self._first_of(waiting), near)
             fresh = F.col("least").isNull() | (F.col("least") >= F.col("o"))
-            taken.append(tried.where(fresh).select("o", "u", "t"))
-            late = tried.where(~fresh).drop("least")
-            left = materialize(self._least(late, self._first_of(taken[-1]), near), "left")
-            hit = F.coalesce(F.col("least") < F.col("o"), F.lit(False))
-            cases.append(left.where(hit))
-            waiting = left.where(~hit).drop("least")
-            if waiting.isEmpty():
+            first = tried.where(fresh).drop("least")
+            left = self._least(tried.where(~fresh).drop("least"), self._first_of(first), near)
+            done = first.withColumns({"least": F.col("o"), "state": F.lit(0)}).unionByName(left.withColumn("state", F.when(F.col("least") < F.col("o"), 1).otherwise(2)))
+            done, count = write(done, f"round{k}", F.sum((F.col("state") == 2).cast("int")).alias("open"))
+            taken.append(done.where("state = 0").select("o", "u", "t"))
+            cases.append(done.where("state = 1").select("o", "u", "t", "least"))
+            waiting, k = done.where("state = 2").select("o", "u", "t"), k + 1
+            if not count["open"]:
                 break
         self._append(reduce(DataFrame.unionByName, taken), classes, part)
-        return reduce(DataFrame.unionByName, cases).select(F.col("least.id").alias("citation_id_a"), F.col("o.id").alias("citation_id_b"))
+        for name in ("classes", "probes", "posts", "heavy", "near", "heavy_old", "heavy_new", "blocks", "heavy_near"):
+            delete_path(self.spark, f"{work}/{name}")
+        return reduce(DataFrame.unionByName, cases).select(F.col("least.n").alias("citation_id_a"), F.col("o.n").alias("citation_id_b"))
 
 
-def repeated_mentions(citations: DataFrame, ingests: int = 4) -> DataFrame:
-    """(citation_id_a, citation_id_b): the first batch is history, the others are taken in one after another, in `ingests` groups of batches that
-    follow each other. As the rows of a group are decided in the order of arrival, the result does not depend on the number of groups."""
+def repeated_mentions(citations: DataFrame) -> DataFrame:
+    """(citation_id_a, citation_id_b): the first batch is history, each other is taken in after the ones before it."""
     spark = citations.sparkSession
-    # As many numbers as there are batches.
-    numbers = sorted(r[0] for r in citations.select(F.coalesce(F.col("ingest_batch").cast("int"), F.lit(0))).distinct().collect())
-    later = numbers[1:]
-    groups = [numbers[:1], *[later[len(later) * k // ingests : len(later) * (k + 1) // ingests] for k in range(ingests)]]
-    groups = [g for g in groups if g]
-    of = F.lit(0)
-    for k, g in enumerate(groups[1:], 1):
-        of = F.when(F.col("batch").between(g[0], g[-1]), k).otherwise(of)
     path = scratch_path(spark, "prepared")
-    prepare(citations).withColumn("grp", of).write.partitionBy("grp").parquet(path)
+    prepare(spread(citations)).withColumn("part", F.col("batch")).write.partitionBy("part").parquet(path)
+    # As many numbers as there are batches.
+    numbers = sorted(r[0] for r in spark.read.schema("part int").parquet(path).select("part").distinct().collect())
     store = AcceptedMentions(spark)
-    found = spark.createDataFrame([], "citation_id_a long, citation_id_b long")
-    for k, _ in enumerate(groups):
-        part = spark.read.schema("id long, batch int, " + PREPARED).parquet(f"{path}/grp={k}")
-        found = found.unionByName(store.ingest(part, f"b{k}", history=k == 0))
-    return found
+    found = [spark.createDataFrame([], "citation_id_a long, citation_id_b long")]
+    for k in numbers:
+        found.append(store.ingest(spark.read.schema(PREPARED).parquet(f"{path}/part={k}"), f"b{k}", history=k == numbers[0]))
+    delete_path(spark, path)
+    return reduce(DataFrame.unionByName, found)
