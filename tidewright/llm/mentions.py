@@ -252,7 +252,7 @@ def _repeats(ka: pd.Series, a: pd.Series, kb: pd.Series, b: pd.Series) -> pd.Ser
     return pd.Series([x == y and repeats(s.split(" "), t.split(" ")) for x, s, y, t in zip(ka, a, kb, b)], dtype=bool)
 
 
-NEAR = "t string, own boolean, other string, b int, n long"
+NEAR = "t string, own boolean, other string, n long"
 
 
 def _blocked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -267,30 +267,27 @@ def _blocked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             held.setdefault(x, []).append(j)
     at = {x: np.array(js) for x, js in held.items()}
     size, other, stored = np.array([len(w) for w in texts], dtype=np.int64), right["t"].to_numpy(), ~right["own"].to_numpy(dtype=bool)
-    b, n, title = right["b"].to_numpy(), right["n"].to_numpy(), right["title_key"].to_numpy()
+    n, title = right["n"].to_numpy(), right["title_key"].to_numpy()
     out = []
-    for t, key, text, b_own, n_own, known, b_known, n_known in left[["t", "title_key", "text", "b", "n", "known", "b_known", "n_known"]].itertuples(index=False):
+    for t, key, text, n_own, known, n_known in left[["t", "title_key", "text", "n", "known", "n_known"]].itertuples(index=False):
         words = text.split(" ")
         hits = [at[x] for x in _numbered(words) if x in at]
         if not hits:
             continue
-        # What repeats a stored text is no citation that others could repeat, and only stored ones before that text matter to it.
-        if known:
-            asked = stored & ((b < b_known) | ((b == b_known) & (n < n_known)))
-        else:
-            asked = stored | (b < b_own) | ((b == b_own) & (n < n_own))
+        # What repeats a stored text is no citation that others could repeat, and only lower stored ones than that text matter to it.
+        asked = stored & (n < n_known) if known else stored | (n < n_own)
         short, long = np.minimum(size, len(words)), np.maximum(size, len(words))
         common = np.bincount(np.concatenate(hits), minlength=len(texts))
         passed = np.nonzero(asked & (other != t) & (title == key) & (2 * short >= long) & (5 * common >= 4 * short))[0]
-        # Stored ones in order of arrival: all are accepted, so the first that is repeated is the one to report.
-        for j in sorted(passed[stored[passed]], key=lambda j: (b[j], n[j])):
+        # All stored ones are accepted, so the lowest that is repeated is the one to report.
+        for j in sorted(passed[stored[passed]], key=lambda j: n[j]):
             if repeats(words, texts[j]):
-                out.append((t, False, other[j], b[j], n[j]))
+                out.append((t, False, other[j], n[j]))
                 break
         for j in passed[~stored[passed]]:
             if repeats(words, texts[j]):
-                out.append((t, True, other[j], b[j], n[j]))
-    return pd.DataFrame(out, columns=["t", "own", "other", "b", "n"])
+                out.append((t, True, other[j], n[j]))
+    return pd.DataFrame(out, columns=["t", "own", "other", "n"])
 
 
 def _numbered(words: list[str]) -> list[tuple[str, int]]:
@@ -305,7 +302,7 @@ def _numbered(words: list[str]) -> list[tuple[str, int]]:
 
 
 KEY, TEXT, CHUNK = 0, 1, 2
-ROWS = "th long, h long, n long, b int, bytes long, key string, title_key string, text string"
+ROWS = "th long, h long, n long, bytes long, key string, title_key string, text string"
 
 
 class AcceptedMentions:
@@ -317,8 +314,8 @@ class AcceptedMentions:
     again a logarithmic number of times.
 
     A null or blank address leads nowhere; a title without words, a null one, or a mention without words repeats no text. Of several accepted
-    citations that a row repeats, the lowest is reported. Rows of one batch are decided in the order of citation_id, as if one by one. A null
-    ingest_batch counts as history. A citation that comes again with the same citation_id, address and text is the same citation. A batch that was taken in before
+    citations that a row repeats, the lowest is reported. Rows of one batch are decided in the order of citation_id, as if one by one; citation_id
+    rises with arrival. A null ingest_batch counts as history. A citation that comes again with the same citation_id, address and text is the same citation. A batch that was taken in before
     is not taken in again.
     """
 
@@ -341,7 +338,7 @@ class AcceptedMentions:
         return self.spark.read.schema(ROWS).parquet(*paths)
 
     def keys(self) -> DataFrame:
-        return self._stored(KEY).select("key", F.struct("b", "n").alias("o"))
+        return self._stored(KEY).select("key", "n")
 
     def texts(self) -> DataFrame:
         return self._stored(TEXT).select("n", "title_key", "text")
@@ -356,17 +353,17 @@ class AcceptedMentions:
         return {"run": run, "rows": count.get["rows"], "parts": sorted([x["kind"], x["p"]] for x in count.get["parts"])}
 
     def _append(self, accepted: DataFrame, classes: DataFrame, part: str) -> None:
-        """accepted: o, u, t. classes: the texts of the batch. What is stored of a class goes by its first accepted citation."""
+        """accepted: n, u, t. classes: the texts of the batch. What is stored of a class goes by its first accepted citation."""
         version, state = self.manifest.read()
         p = lambda c: F.pmod(c, F.lit(state["ranges"])).cast("int").alias("p")
         none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-        first = accepted.where("t is not null").groupBy("t").agg(F.min("o").alias("_o"))
+        first = accepted.where("t is not null").groupBy("t").agg(F.min("n").alias("n"))
         own = F.array(F.struct(F.lit(TEXT).alias("kind"), F.lit(None).cast("long").alias("h"), F.col("title_key"), F.col("text")))
         chunks = F.transform("hs", lambda h: F.struct(F.lit(CHUNK).alias("kind"), h.alias("h"), F.lit(None).cast("string").alias("title_key"), F.lit(None).cast("string").alias("text")))
-        texts = classes.join(first, "t").select("th", F.col("_o.n").alias("n"), F.col("_o.b").alias("b"), "bytes", F.explode(F.concat(own, chunks)).alias("r"))
-        texts = texts.select("th", "r.h", "n", "b", "bytes", none("string", "key"), "r.title_key", "r.text", "r.kind", p(F.col("th")))
-        hashed = self._first_of(accepted).withColumn("th", F.xxhash64("key"))
-        keys = hashed.select("th", none("long", "h"), "o.n", "o.b", none("long", "bytes"), "key", none("string", "title_key"), none("string", "text"), F.lit(KEY).alias("kind"), p(F.col("th")))
+        texts = classes.drop("n").join(first, "t").select("th", "n", "bytes", F.explode(F.concat(own, chunks)).alias("r"))
+        texts = texts.select("th", "r.h", "n", "bytes", none("string", "key"), "r.title_key", "r.text", "r.kind", p(F.col("th")))
+        hashed = self._first_of(self._each(accepted)).withColumn("th", F.xxhash64("key"))
+        keys = hashed.select("th", none("long", "h"), "n", none("long", "bytes"), "key", none("string", "title_key"), none("string", "text"), F.lit(KEY).alias("kind"), p(F.col("th")))
         run = self._write_run(texts.unionByName(keys), state["next"])
         self.manifest.commit(version, state | {"next": state["next"] + 1, "runs": [*state["runs"], run], "applied": [*state["applied"], part]})
         self.compact()
@@ -416,28 +413,27 @@ class AcceptedMentions:
         A chunk that more than HEAVY texts of a title share - a stock phrase, or a piece of a text of which there are many versions - would pair all
         of them once for each such chunk. It nominates the first of them only, and the texts that hold such chunks are compared in blocks.
         """
-        chunks = probes.select("t", "th", "b", "n", "bytes", F.explode(F.arrays_zip("hs", "lens")).alias("c")).select("t", "th", "b", "n", "bytes", "c.hs", "c.lens")
-        own = chunks.select("th", F.col("hs").alias("h"), F.lit(True).alias("own"), F.col("t").alias("other"), "b", "n", "bytes")
-        stored = self._only(self._stored(CHUNK, ranges).select("th", "h", "b", "n", "bytes"), probes, few)
-        posts = own.unionByName(stored.select("th", "h", F.lit(False).alias("own"), F.lit("").alias("other"), "b", "n", "bytes"))
+        chunks = probes.select("t", "th", "n", "bytes", F.explode(F.arrays_zip("hs", "lens")).alias("c")).select("t", "th", "n", "bytes", "c.hs", "c.lens")
+        own = chunks.select("th", F.col("hs").alias("h"), F.lit(True).alias("own"), F.col("t").alias("other"), "n", "bytes")
+        stored = self._only(self._stored(CHUNK, ranges).select("th", "h", "n", "bytes"), probes, few)
+        posts = own.unionByName(stored.select("th", "h", F.lit(False).alias("own"), F.lit("").alias("other"), "n", "bytes"))
         heavy, light = None, posts
         if most > HEAVY:
             posts, _ = write(posts, "posts")
-            first = F.min(F.struct("b", "n", "own", "other", "bytes")).alias("first")
+            first = F.min(F.struct("n", "own", "other", "bytes")).alias("first")
             counts = posts.groupBy("th", "h").agg(F.count("*").alias("texts"), F.max("own").alias("asked"), first)
             heavy, seen = write(counts.where((F.col("texts") > HEAVY) & F.col("asked")).select("th", "h", "first"), "heavy")
             heavy = heavy if seen["rows"] else None
         if heavy is not None:
-            lone = heavy.select("th", "h", *[F.col(f"first.{c}").alias(c) for c in ("own", "other", "b", "n", "bytes")])
+            lone = heavy.select("th", "h", *[F.col(f"first.{c}").alias(c) for c in ("own", "other", "n", "bytes")])
             light = posts.join(heavy.select("th", "h"), ["th", "h"], "left_anti").unionByName(lone)
         asked = chunks.select(F.col("t").alias("a"), F.col("bytes").alias("a_bytes"), "th", F.col("hs").alias("h"), F.col("lens").alias("len"))
         met = asked.join(light, ["th", "h"]).where("other <> a")
         # A pair within the batch is the same from both sides.
         turned = F.col("own") & (F.col("a") > F.col("other"))
-        met = met.select("th", "own", "b", "n", "len", F.least("a_bytes", "bytes").alias("of"), turned.alias("turned"), F.when(turned, F.col("other")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("other")).alias("other"))
+        met = met.select("th", "own", "n", "len", F.least("a_bytes", "bytes").alias("of"), turned.alias("turned"), F.when(turned, F.col("other")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("other")).alias("other"))
         side = lambda x: F.coalesce(F.sum(F.when(F.col("turned") == x, F.col("len"))), F.lit(0))
-        stored_only = lambda c: F.when(~F.col("own"), F.col(c)).alias(c)
-        cover = met.groupBy("th", "a", "own", "other", stored_only("b"), stored_only("n")).agg(F.greatest(side(True), side(False)).alias("shared"), F.min("of").alias("of"))
+        cover = met.groupBy("th", "a", "own", "other", F.when(~F.col("own"), F.col("n")).alias("n")).agg(F.greatest(side(True), side(False)).alias("shared"), F.min("of").alias("of"))
         near, _ = write(self._verified(cover.where(F.col("shared") >= COVERAGE * F.col("of")), probes, ranges, few), "near")
         if heavy is None:
             return near
@@ -448,24 +444,24 @@ class AcceptedMentions:
         left = pairs.join(probes.select(F.col("t").alias("a"), F.col("title_key").alias("ka"), F.col("text").alias("ta")), "a")
         right = probes.select(F.col("t").alias("other"), F.col("title_key").alias("kb"), F.col("text").alias("tb"))
         stored = self._only(self._stored(TEXT, ranges), probes, few).select("th", "n", F.col("title_key").alias("kb"), F.col("text").alias("tb"))
-        columns = ["a", "own", "other", "b", "n", "ka", "ta", "kb", "tb"]
+        columns = ["a", "own", "other", "n", "ka", "ta", "kb", "tb"]
         rows = left.where("own").join(right, "other").select(*columns).unionByName(left.where("not own").join(stored, ["th", "n"]).select(*columns))
         kept = rows.where(F.pandas_udf(_repeats, "boolean")("ka", "ta", "kb", "tb"))
         both = F.when(F.col("own"), F.array(F.struct(F.col("a").alias("t"), "other"), F.struct(F.col("other").alias("t"), F.col("a").alias("other")))).otherwise(F.array(F.struct(F.col("a").alias("t"), "other")))
-        return kept.select("own", "b", "n", F.explode(both).alias("p")).select("p.t", "own", "p.other", "b", "n")
+        return kept.select("own", "n", F.explode(both).alias("p")).select("p.t", "own", "p.other", "n")
 
     def _near_in_blocks(self, probes: DataFrame, posts: DataFrame, heavy: DataFrame, near: DataFrame, hits, ranges: set, few: bool, write) -> DataFrame:
         """NEAR of the texts that hold heavy chunks: every pair of a title, but those that cannot change what is reported."""
-        holders = posts.join(heavy, ["th", "h"], "left_semi").select("th", "own", "other", "b", "n").distinct()
+        holders = posts.join(heavy, ["th", "h"], "left_semi").select("th", "own", "other", "n").distinct()
         text = self._only(self._stored(TEXT, ranges), probes, few).select("th", "n", "title_key", "text")
-        old, _ = write(holders.where("not own").select("th", "b", "n").join(text, ["th", "n"]), "heavy_old")
+        old, _ = write(holders.where("not own").select("th", "n").join(text, ["th", "n"]), "heavy_old")
         # The first accepted citation that a text is known to repeat; it is a case then, whatever else is found.
-        hit = hits(near).groupBy(F.col("key").alias("t")).agg(F.min("o").alias("known"))
-        new = holders.where("own").select(F.col("other").alias("t")).join(probes.select("t", "th", "b", "n", "title_key", "text"), "t").join(hit, "t", "left")
+        hit = hits(near).groupBy(F.col("key").alias("t")).agg(F.min("n").alias("known"))
+        new = holders.where("own").select(F.col("other").alias("t")).join(probes.select("t", "th", "n", "title_key", "text"), "t").join(hit, "t", "left")
         new, _ = write(new, "heavy_new")
         lone = new.where("known is null")
         right = old.withColumns({"own": F.lit(False), "t": F.lit("")}).unionByName(lone.drop("known").withColumn("own", F.lit(True)))
-        lowest = old.groupBy("th").agg(F.min(F.struct("b", "n")).alias("lowest"))
+        lowest = old.groupBy("th").agg(F.min("n").alias("lowest"))
         left = new.join(lowest, "th", "left").where("known is null or lowest < known").drop("lowest")
         blocks = lambda rows, name: rows.groupBy("th").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
         count = blocks(left, "lefts").join(blocks(right, "rights"), "th")
@@ -473,28 +469,31 @@ class AcceptedMentions:
         place = F.abs(F.hash("n", "t")).cast("long")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left, right = (x.join(count, "th") for x in (left, right))
-        left = left.withColumns({"i": F.pmod(place, "lefts").cast("int"), "j": every("rights"), "b_known": F.coalesce("known.b", F.lit(0)), "n_known": F.coalesce("known.n", F.lit(0)), "known": F.col("known").isNotNull()})
+        left = left.withColumns({"i": F.pmod(place, "lefts").cast("int"), "j": every("rights"), "n_known": F.coalesce("known", F.lit(0)), "known": F.col("known").isNotNull()})
         right = right.withColumns({"j": F.pmod(place, "rights").cast("int"), "i": every("lefts")})
         by = ["th", "i", "j"]
         pairs = left.drop("lefts", "rights").groupBy(*by).cogroup(right.drop("lefts", "rights").groupBy(*by)).applyInPandas(_blocked, NEAR)
         pairs, _ = write(pairs, "heavy_near")
-        back = pairs.where("own").select(F.col("other").alias("t"), "own", F.col("t").alias("other"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("long").alias("n"))
-        plain = pairs.withColumns({"b": F.when(~F.col("own"), F.col("b")), "n": F.when(~F.col("own"), F.col("n"))})
+        back = pairs.where("own").select(F.col("other").alias("t"), "own", F.col("t").alias("other"), F.lit(None).cast("long").alias("n"))
+        plain = pairs.withColumn("n", F.when(~F.col("own"), F.col("n")))
         return plain.unionByName(back)
 
     # ------------------------------------------------------------ decisions
     @staticmethod
-    def _least(rows: DataFrame, keys: DataFrame, near: DataFrame) -> DataFrame:
-        """rows with column least: the first citation under their page key, class, or a class near theirs. keys: key, o. near: t, other."""
-        by_near = near.join(keys, near["other"] == keys["key"]).select(F.col("t").alias("key"), "o")
-        by_text = keys.unionByName(by_near).groupBy("key").agg(F.min("o").alias("o"))
-        out = rows.join(keys.select(F.col("key").alias("u"), F.col("o").alias("_u")), "u", "left")
-        out = out.join(by_text.select(F.col("key").alias("t"), F.col("o").alias("_t")), "t", "left")
-        return out.withColumn("least", F.least("_u", "_t")).drop("_u", "_t")
+    def _each(rows: DataFrame) -> DataFrame:
+        """n, key: the page key and the class of each row."""
+        return rows.select("n", F.explode(F.array("u", "t")).alias("key")).where("key is not null")
 
     @staticmethod
-    def _first_of(rows: DataFrame) -> DataFrame:
-        return rows.select("o", F.explode(F.array("u", "t")).alias("key")).where("key is not null").groupBy("key").agg(F.min("o").alias("o"))
+    def _first_of(each: DataFrame) -> DataFrame:
+        return each.groupBy("key").agg(F.min("n").alias("n"))
+
+    @classmethod
+    def _least(cls, rows: DataFrame, others: DataFrame, near: DataFrame) -> DataFrame:
+        """n, least: of each row the lowest of the others under its page key, its class, or a class near it, where there is one. near: t, other."""
+        each = cls._each(rows)
+        asked = each.unionByName(each.join(near, each["key"] == near["t"]).select("n", F.col("other").alias("key")))
+        return asked.join(cls._first_of(cls._each(others)).withColumnRenamed("n", "least"), "key").groupBy("n").agg(F.min("least").alias("least"))
 
     def ingest(self, prepared: DataFrame, part: str, history: bool = False) -> DataFrame:
         """Takes in one prepared batch; returns (citation_id_a, citation_id_b) of the rows that repeat an accepted citation."""
@@ -510,10 +509,9 @@ class AcceptedMentions:
             df.observe(seen, F.count("*").alias("rows"), *more).write.mode("overwrite").parquet(f"{work}/{name}")
             return self.spark.read.schema(schema).parquet(f"{work}/{name}"), seen.get
 
-        o = F.struct(F.col("batch").alias("b"), F.col("id").alias("n"))
-        rows = prepared.select(o.alias("o"), "u", "t")
-        kept = F.min_by(F.struct("th", "title_key", "text", "bytes", "hs", "lens"), o).alias("x")
-        classes = prepared.where("t is not null").groupBy("t").agg(kept, F.min(o).alias("o")).select("t", "x.*", "o.b", "o.n")
+        rows = prepared.select(F.col("id").alias("n"), "u", "t").distinct()
+        kept = F.min_by(F.struct("th", "title_key", "text", "bytes", "hs", "lens"), "id").alias("x")
+        classes = prepared.where("t is not null").groupBy("t").agg(kept, F.min("id").alias("n")).select("t", "x.*", "n")
         if history:
             self._append(rows, classes, part)
             return empty
@@ -521,36 +519,37 @@ class AcceptedMentions:
         size = prepared.agg(F.count("*").alias("rows"), p(F.col("th")).alias("titles"), p(F.xxhash64("u")).alias("u"), p(F.xxhash64("t")).alias("t")).first()
         few, ranges = size["rows"] <= FEW, {int(x) for x in size["titles"]}
         classes, _ = write(classes, "classes")
-        each = rows.select("o", "u", "t", F.explode(F.array("u", "t")).alias("key")).withColumn("th", F.when(F.col("key").isNotNull(), F.xxhash64("key")))
-        stored = self._only(self._stored(KEY, {int(x) for x in size["u"] + size["t"]}).select("th", "key", "b", "n"), each, few).select("key", F.struct("b", "n").alias("o"))
+        each = self._each(rows).withColumn("th", F.xxhash64("key"))
+        stored = self._only(self._stored(KEY, {int(x) for x in size["u"] + size["t"]}).select("th", "key", "n"), each, few).select("key", "n")
 
         def hits(near: DataFrame) -> DataFrame:
-            """(key, o): stored citations under a page key, a class, or near a class."""
-            return stored.unionByName(near.where("not own").select(F.col("t").alias("key"), F.struct("b", "n").alias("o")))
+            """(key, n): stored citations under a page key, a class, or near a class."""
+            return stored.unionByName(near.where("not own").select(F.col("t").alias("key"), "n"))
 
         probes, probing, most = self._probes(classes, ranges, few, write)
         near = self._near(probes, hits, most, ranges, few, write) if probing else self.spark.createDataFrame([], NEAR)
-        seen = each.join(hits(near).groupBy("key").agg(F.min("o").alias("least")), "key", "left").groupBy("o", "u", "t").agg(F.min("least").alias("least"))
-        seen, _ = write(seen, "seen")
+        least = each.select("n", "key").join(hits(near).groupBy("key").agg(F.min("n").alias("least")), "key").groupBy("n").agg(F.min("least").alias("least"))
+        seen, _ = write(rows.join(least, "n", "left"), "seen")
         cases, taken, near, k = [seen.where("least is not null")], [], near.where("own").select("t", "other").distinct(), 0
         waiting = seen.where("least is null").drop("least")
         while True:
             # Open rows below all open rows that they could repeat are accepted; open rows that repeat one of those are cases.
-            tried = self._least(waiting, self._first_of(waiting), near)
-            fresh = F.col("least").isNull() | (F.col("least") >= F.col("o"))
-            first = tried.where(fresh).drop("least")
-            left = self._least(tried.where(~fresh).drop("least"), self._first_of(first), near)
-            done = first.withColumns({"least": F.col("o"), "state": F.lit(0)}).unionByName(left.withColumn("state", F.when(F.col("least") < F.col("o"), 1).otherwise(2)))
-            done, count = write(done, f"round{k}", F.sum((F.col("state") == 2).cast("int")).alias("open"))
-            taken.append(done.where("state = 0").select("o", "u", "t"))
-            cases.append(done.where("state = 1").select("o", "u", "t", "least"))
-            waiting, k = done.where("state = 2").select("o", "u", "t"), k + 1
+            late = F.col("least") < F.col("n")
+            tried, count = write(waiting.join(self._least(waiting, waiting, near), "n", "left"), f"tried{k}", F.sum(late.cast("int")).alias("late"))
+            late = F.coalesce(late, F.lit(False))
+            taken.append(tried.where(~late).drop("least"))
+            if not count["late"]:
+                break
+            tried = tried.where(late).drop("least")
+            left, count = write(tried.join(self._least(tried, taken[-1], near).where("least < n"), "n", "left"), f"left{k}", F.sum(F.col("least").isNull().cast("int")).alias("open"))
+            cases.append(left.where("least is not null"))
+            waiting, k = left.where("least is null").drop("least"), k + 1
             if not count["open"]:
                 break
         self._append(reduce(DataFrame.unionByName, taken), classes, part)
         for name in ("classes", "probes", "posts", "heavy", "near", "heavy_old", "heavy_new", "blocks", "heavy_near"):
             delete_path(self.spark, f"{work}/{name}")
-        return reduce(DataFrame.unionByName, cases).select(F.col("least.n").alias("citation_id_a"), F.col("o.n").alias("citation_id_b"))
+        return reduce(DataFrame.unionByName, cases).select(F.col("least").alias("citation_id_a"), F.col("n").alias("citation_id_b"))
 
 
 def repeated_mentions(citations: DataFrame) -> DataFrame:
