@@ -57,15 +57,25 @@ CLEAN = [
 ]
 
 
+#: What other texts of a corpus show; alone, some of the texts above leave open whether two words are a name.
+ELSEWHERE = "Thanks, Saoirse Arbmond. Dr. Owen Kellmond. Mira Ostrogard. Frau Owen Vandestrom. Herr Owen Braskhart."
+
+
+def found_in_corpus(text, corpus=ELSEWHERE):
+    proven = [P.proves(s, GIVEN) for t in (text, corpus) for s in P.raw_spans(t, GIVEN)]
+    givens, families = frozenset(g for g, _ in proven if g), frozenset(f for _, f in proven if f)
+    return P.without_overlaps(s for s in P.raw_spans(text, GIVEN) if P.holds(s, GIVEN, givens, families))
+
+
 @pytest.mark.parametrize("text,kind,start", FOUND)
 def test_found(text, kind, start):
-    spans = P.find_pii(text, GIVEN)
+    spans = found_in_corpus(text)
     assert (text.index(start), kind) in [(s, k) for s, _, k in spans], spans
 
 
 @pytest.mark.parametrize("text", CLEAN)
 def test_not_found(text):
-    assert P.find_pii(text, GIVEN) == []
+    assert P.find_pii(text, GIVEN) == [] == found_in_corpus(text)
 
 
 def test_nulls_and_long_texts():
@@ -91,11 +101,55 @@ def test_redaction_keeps_the_rest():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.from_regex(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2} [0-9]{2} [a-z]|\+[0-9]{2} [0-9]{3,9}", fullmatch=True))
-def test_permutation_keeps_the_format_and_turns_back(text):
-    out = P.permute_in_format(text, b"k", "t")
-    assert [("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c) for c in out] == [("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c) for c in text]
-    assert P.permute_in_format(out, b"k", "t", back=True) == text
+@given(st.from_regex(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2} [0-9]{2} [0-9]{4} [a-z]|[0-9]{8}[A-Z]|[1-9][0-9]{10}", fullmatch=True))
+def test_numbers_keep_their_format_and_turn_back(text):
+    out = P.permute_written_id(text, b"k")
+    form = lambda x: ["9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in x]
+    assert form(out) == form(text) and P.permute_written_id(out, b"k", back=True) == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.from_regex(r"\+(1|44|353) \(?[1-9][0-9]{2}\)?[ -][0-9]{3}[ -][0-9]{3,4}", fullmatch=True))
+def test_phones_keep_code_and_format_and_turn_back(text):
+    out = P.permute_phone(text, b"k")
+    assert P.phone_parts(out)[0] == P.phone_parts(text)[0] and P.permute_phone(out, b"k", back=True) == text
+
+
+def plain(written):
+    return "".join(c for c in written if c.isalnum()).upper()
+
+
+def test_one_number_in_several_writings_stays_one():
+    code = lambda w: P.phone_parts(w)[:2]
+    for same in (["+1 555-010-0199", "+1 (555) 010-0199", "+15550100199", "001 555 010 0199"], ["+44 (0)20 7946 0954", "+44 20 7946 0954", "0044 20 79460954"], ["(030) 23125 001", "030/23125001"]):
+        out = [P.permute_phone(w, b"key") for w in same]
+        assert len({code(w) for w in same}) == 1 == len({code(o) for o in out}) and out[0] != same[0]
+        assert [[c if not c.isdigit() else "9" for c in o] for o in out] == [[c if not c.isdigit() else "9" for c in w] for w in same]
+    for same in (["QQ 61 64 11 B", "QQ616411B", "qq616411b"], ["12345678Z", "12345678-z"], ["536-22-8741", "536228741"]):
+        out = [P.permute_written_id(w, b"key") for w in same]
+        assert len({plain(o) for o in out}) == 1 and plain(out[0]) != plain(same[0])
+
+
+@pytest.mark.parametrize("valid", ["12345678Z", "X1234567L", "86095742719", "255081416802538", "536228741"])
+def test_valid_numbers_become_valid_ones(valid):
+    kind = P.checked_kind(valid)
+    assert kind is not None
+    wrong = valid[:-1] + ("A" if valid[-1].isalpha() else str((int(valid[-1]) + 1) % 10)) if kind[0] != "SSN" else "000228741"
+    for k in range(20):
+        out = P.permute_id(valid, b"key%d" % k)
+        assert P.checked_kind(out)[0] == kind[0] and P.permute_id(out, b"key%d" % k, back=True) == valid
+        bad = P.permute_id(wrong, b"key%d" % k)
+        assert P.checked_kind(bad) is None and P.permute_id(bad, b"key%d" % k, back=True) == wrong
+
+
+def test_birth_dates():
+    text = "DOB: 1984-03-12, born on 12.3.1984, geboren am 12/03/1984; seen 2024-01-01"
+    out = P.redact(text, GIVEN, b"key")
+    assert out.endswith("; seen 2024-01-01") and out.count("[BIRTH_DATE:") == 3
+    iso, dotted, slashed = (x.split("]")[0] for x in out.split("[BIRTH_DATE:")[1:])
+    y, m, d = map(int, iso.split("-"))
+    assert [int(x) for x in dotted.split(".")] == [d, m, y] == [int(x) for x in slashed.split("/")] and iso != "1984-03-12"
+    assert P.permute_written_date("99/99/2020", b"k") != "" and P.find_birth_dates(None) == []
 
 
 def test_permutation_is_one_to_one():
@@ -119,7 +173,7 @@ def test_tables(spark):
     rows = P.texts_with_pii(posts, cites)
     got = sorted(tuple(r) for r in P.occurrences(rows, ["record_table", "record_key"], "text", names).drop("end_pos").collect())
     assert got == [("discovered_citations", "1", "name", 1), ("reddit_posts", "p1", "email", 6)]
-    red = {r.record_key: r.text for r in P.redacted(rows, "text", names, b"k").collect()}
+    red = {r.record_key: r.text for r in P.redacted(rows, ["record_table", "record_key"], "text", names, b"k").collect()}
     assert red["p2"] is None and red["p3"] == "" and red["p1"].startswith("mail [EMAIL:")
     assert P.occurrences(rows.limit(0), ["record_key"], "text", names).count() == 0
 
@@ -138,3 +192,37 @@ def test_hints_let_through_what_the_patterns_match(text, kind, start):
 ])
 def test_family_names_of_any_ending(text, name):
     assert [text[s:e] for s, e, k in P.find_pii(text, GIVEN) if k == "name"] == [name]
+
+
+#: Held out: ordinary names in four languages that no rule was made for, and capitalized pairs that are no names. {} stands for the pair.
+HELD_OUT_GIVEN = "John Maria Thomas Sarah Mohammed Anna Pierre Camille Javier Lucía Jürgen Sabine Emily Nathalie Antonio Katrin".lower().split()
+HELD_OUT_NAMES = """John Smith;Maria Garcia;Thomas Müller;Sarah Nguyen;Mohammed Khan;Anna Kowalska;Pierre Lefèvre;Camille Dubois;Javier Hernández;Lucía Fernández;Jürgen Schneider;
+Sabine Hofmann;Emily Clarke;Nathalie Petit;Antonio Moreno;Katrin Weiß;John O'Neill;Maria dos Reis;Anna van Dijk;Thomas Le Gall;Sarah Baker;Pierre Martin;Javier Ruiz;Emily Wong""".replace("\n", "").split(";")
+HELD_OUT_UNLISTED = "Wei Chen;Olga Petrova;Kwame Mensah;Priya Raman;Hiroshi Tanaka;Fatima Zahra;Lars Nilsson;Giulia Rossi".split(";")
+HELD_OUT_PLACES = ["Yesterday {} sent the file.", "The page of {} is gone.", "Wir haben mit {} gesprochen.", "Le compte de {} est fermé.", "La cuenta de {} no existe.", "{} fixed the sitemap"]
+HELD_OUT_CUED = ["Thanks, {}", "My name is {} and I run it.", "written by {} in May", "Dr. {} agreed.", "{} said no.", "Ich bin {} aus Bonn."]
+HELD_OUT_CLEAN = """We moved to Google Analytics last week.;The Open Source project is fine.;New York City pages rank well.;Visual Studio Code crashes.;Table Wilson is a lamp we sell.;Lumber Johnson opened a shop.;
+Black Friday traffic doubled.;San Francisco and Los Angeles differ.;Der Kunde Meier GmbH klagt.;Red Hat Linux boots.;Our Core Web Vitals are bad.;See Figure Two.;Content Security Policy blocks it.;
+The Search Console shows Crawl Errors.;Mona Lisa prints sell.;Le Monde Diplomatique en parle.;Unter den Linden ist voll.;Amazon Prime Video is down.;La Vanguardia Digital lo dijo.;Project Gutenberg hosts it.""".replace("\n", "").split(";")
+
+
+def test_precision_and_recall_on_held_out_names():
+    names = frozenset(HELD_OUT_GIVEN)
+    cases = [(p.format(n), n) for n in HELD_OUT_NAMES for p in HELD_OUT_PLACES + HELD_OUT_CUED] + [(p.format(n), n) for n in HELD_OUT_UNLISTED for p in HELD_OUT_CUED]
+    corpus = [t for t, _ in cases] + HELD_OUT_CLEAN
+    raw = [P.raw_spans(t, names) for t in corpus]
+    proven = [P.proves(s, names) for r in raw for s in r]
+    givens, families = frozenset(g for g, _ in proven if g), frozenset(f for _, f in proven if f)
+    got = [[t[s:e] for s, e, k in P.without_overlaps(x for x in r if P.holds(x, names, givens, families)) if k == "name"] for t, r in zip(corpus, raw)]
+    hit = sum(n in g for (_, n), g in zip(cases, got))
+    said = sum(map(len, got))
+    print("recall", hit / len(cases), "precision", hit / said, [g for g in got[len(cases):] if g])
+    assert hit / len(cases) >= 0.9 and hit / said >= 0.9
+
+
+def test_names_that_the_corpus_proves(spark):
+    rows = spark.createDataFrame([("a", 1, "Thanks, Saoirse Arbmond"), ("b", 1, "we saw saoirse arbmond, cc saoirse arbmond"), ("c", 1, "Table Arbmond is new; L. Arbmond too"), (None, 2, "Saoirse Arbmond here")], "k string, n int, text string")
+    got = {(r.k, r.start_pos) for r in P.occurrences(rows, ["k", "n"], "text", GIVEN).collect()}
+    assert got == {("a", 9), ("b", 28), ("c", 23), (None, 1)}
+    red = {r.k: r.text for r in P.redacted(rows, ["k", "n"], "text", GIVEN, b"k").collect()}
+    assert red[None].startswith("[NAME:") and red["c"].startswith("Table Arbmond is new; [NAME:")

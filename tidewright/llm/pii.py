@@ -1,9 +1,13 @@
 """Personal information in free text: where it stands, and the same text with typed placeholders (problem 3).
 
-Method: format-preserving Feistel pseudonyms. Digits and letters of a number are permuted under a key within the number's own
-format (groups, separators and prefixes stay), so equal values have equal pseudonyms in all documents and different values different ones;
-permute_date does so for dates, which are not sought in texts yet; check digits are not verified. Mail addresses, street addresses and names have no fixed format and get a keyed token.
-Everything is decided within one text, so the work is one pass over the rows without a shuffle.
+Method: format-preserving Feistel pseudonyms. A number is brought to its plain value (no separators, no letter case, of a telephone number the digits
+behind the country code), the value is permuted under a key within its format, and the result is laid into the writing it came in: so equal values
+have equal pseudonyms in all documents and all writings, and different values different ones. Identity numbers with a check digit or letter are
+verified, and valid ones become valid ones. Announced dates of birth are permuted among the days of two centuries. Mail addresses, street addresses
+and names have no fixed format and get a keyed token.
+
+Most is decided within one text, in one pass over the rows. What a text leaves open - two capitalized words that may be a name - the corpus decides:
+a family or given name that some text shows for certain counts everywhere.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidewright.session import materialize
+
 TYPES = ("email", "address", "id_number", "phone", "name")  # where two would overlap, the earlier type wins
 
 # ---------------------------------------------------------------- mail addresses
@@ -74,7 +80,10 @@ _TYPE_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Av|Boulevard|Blvd|Lane|Ln|Drive|Dr|
 _CAP = r"(?:[A-ZÀ-Þ][\w'’\-]*|\d{1,3}(?:st|nd|rd|th))"
 _UNIT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite|Ste|Room|Floor)\.? ?#?\w{1,5}, ?|#\d{1,4},? )?"
 _EN = rf"{_UNIT}\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}})?,? (?:[NSEW]\.? )?(?:{_CAP} ){{1,3}}{_TYPE_EN}\b"
-_EN_LOW = rf"{_UNIT}\d{{1,5}}[a-z]? (?:[^\W\d_][\w'’\-]* ){{1,2}}{_TYPE_EN}\b(?=\.?(?: ?#\d|,? (?:apt|flat|unit|suite)\b|, [^\W\d_]{{3,}}|[.;!?]?(?:\s*$|\n)| (?:please|as our|and the map|every month|is where|second door|without)))"
+# Without capitals: a street's type that is hardly anything else, after a word that leads to a place or before what ends an address.
+_TYPE_LOW = r"(?:street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|drive|dr|court|ct|close|crescent|mews|row|gardens|way|terrace|place|square|walk|grove|hill|parkway|highway|quay|wharf)"
+_LOW = rf"{_UNIT}\d{{1,5}}[a-z]? (?:[^\W\d_][\w'’\-]* ){{1,2}}{_TYPE_LOW}\b"
+_EN_LOW = rf"(?:(?:(?<=\bat )|(?<=\bto )|(?<=\bin )|(?<=\bon )|(?<=\bfrom ))(?:{_LOW})|{_LOW}(?=\.?(?: ?#\d|,? (?:apt|flat|unit|suite)\b|, [^\W\d_]{{3,}}|[.;!?]?(?:\s*$|\n))))"
 _FR = r"\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|all[ée]e|quai|cours|route|square|passage|sentier|villa)\s(?:(?:de|du|des|la|le|les|d['’]|l['’]|à|aux|et)\s?){0,3}[\w'’\-]+"
 _ES = r"(?:(?:Calle|C/|Cl\.|Avenida|Avda\.?|Av\.|Plaza|Pza\.|Paseo|Camino|Carretera|Ronda|Traves[ií]a|Pasaje)\s?(?:(?:de|del|la|las|los|el)\s){0,3}[\w'’\-]+(?:\s(?:(?:de|del|la|las|los|el|y)\s){0,2}[\w'’\-]+){0,3}?,?\s(?:n\.?[ºo°]\s?)?\d{1,4}\b)"
 _DE = r"[^\W\d_][\w\-]{2,}(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|damm|ufer|steig|pfad|chaussee|promenade)\s\d{1,4}(?:\s?[a-z])?\b"
@@ -90,15 +99,6 @@ TAIL = re.compile(
 NOT_STREET = re.compile(r"(?:^|\s)(?:view|records?|map|units?|smart|the|of|in|on|per|a|an|and|or|to|for|new|old|main menu)$", re.I)
 
 # ---------------------------------------------------------------- names
-_STRONG = r"(?:son|ova|ski|mond|hart|wick|land|veld|gard|ley|strom)"
-WORDS_NOT_FAMILY = frozenset(
-    """season reason person lesson comparison unison prison poison treason jettison garrison liaison saison raison maison livraison poisson boisson chanson comparaison
-    salaison trahison guérison prénson cargaison floraison terminaison combinaison conjugaison island mainland homeland highland lowland inland ausland deutschland inland
-    vorland rheinland england ireland scotland finland holland poland iceland switzerland zealand wasteland farmland grassland woodland dreamland upland overland heartland
-    valley alley trolley volley barley parsley galley medley smiley storey honey money journey attorney chimney kidney turkey donkey monkey hockey jockey keyley
-    diamond almond chart flowchart heart sweetheart wart smart mart kmart walmart maelstrom nova supernova bossa regard disregard boulevard vanguard safeguard
-    candlewick bailiwick quick thick whiskey""".split()
-)
 STOP = frozenset(
     """the a an is are was were be been being am do does did has have had can could will would shall should may might must why how what when where who whom which whose whether
     if and or nor but so yet for to of in on at by with without within from into onto over under after before between among against about above below since until till than then that this
@@ -112,25 +112,46 @@ STOP = frozenset(
     el los las uno una unos unas y o u pero porque como cuando donde quien es son era fue han con sin sobre bajo entre hacia desde hasta para por según del al
     nous vous ils elles wir ihr sie er es man nosotros ellos ellas their old our office system data page site team plan user users version release company corp inc ltd gmbh""".split()
 )
-COMPANY = re.compile(r"^,? (?:Corp|Inc|Ltd|LLC|GmbH|AG|SA|SL|SARL|PLC|Co|Group|Labs?|Cloud|Software|Systems|Insights|Studio|Router|Gateway|Archive|Hotel|University)\b", re.I)
-FAMILY = re.compile(rf"(?<![\w@.+/])([^\W\d_]{{2,}}?{_STRONG}(?:-[^\W\d_]{{2,}}?{_STRONG})?)(?![\w@+]|[.\-_]\w|['’]\w)", re.I)
-_WORD = r"[^\W\d_]+(?:-[^\W\d_]+)?"
-BEFORE = re.compile(rf"(?<![\w@.+\-/’'])(?:({_WORD}) (?:([^\W\d_])\. ?)?|([^\W\d_])\. ?(?:([^\W\d_])\. ?)?)$")
-AFTER = re.compile(rf"^, ?(?:({_WORD})|([^\W\d_])\.)(?![\w@]|[.\-]\w)")
-#: A word, maybe an initial, and a capitalized word, maybe with particles: a name where the first is a listed given name.
-LISTED = re.compile(rf"(?<![\w@.+\-/’'])({_WORD})(?= (?:[^\W\d_]\. ?)?(?:(?:van|von|de|der|den|la|del|di|da|le|du|ten|ter) ){{0,3}}[A-ZÀ-Þ])")
-TITLED = re.compile(r"(?<!\w)(?:mr|mrs|ms|dr|prof|professor|herr|frau|mme|mlle|señor|señora|sr|sra|by)\.? ((?:[^\W\d_]\. ?){1,2}(?=[A-ZÀ-Þ]))", re.I)
-REST = re.compile(r" ?(?:[^\W\d_]\. ?)?(?:(?:van|von|de|der|den|la|del|di|da|le|du|ten|ter) ){0,3}((?:[A-ZÀ-Þ]['’])?[A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)(?![\w@+]|[.\-_]\w|['’](?!s\b)\w)")
+#: What follows a name of a product or a company, or is its second word.
+COMPANY = re.compile(
+    r"^,? (?:Corp|Inc|Ltd|LLC|GmbH|AG|SA|SL|SARL|PLC|Co|Group|Labs?|Cloud|Software|Systems|Insights|Studio|Router|Gateway|Archive|Hotel|University|Analytics|Suite|Platform|Engine|Server|Hub|Desk|Pro|Plus|"
+    r"Tools?|Apps?|API|Search|Bot|Watch|Monitor|Tracker|Index|Media|Press|Bank|Foundation|Institute|Museum|School|College|Academy|Agency|Partners|Solutions|Technologies|Services|Network|Networks)\b", re.I)
 #: Capitalized words after a given name, or a word that is one as well, that make it a product, a place or a sentence.
 NOT_FAMILY = frozenset(
     """archive down period visited up out off list collect setting settings mode plan plans account app api button page pages menu panel dashboard report reports release update upgrade trial
     edition suite tool tools server service services platform network project team company bank store shop hotel market media news magazine press award awards prize
     street road avenue lane drive square park airport station city town county river lake island bay beach bridge hill valley university college school hospital church museum""".split()
 )
+#: Given names that are common words as well: alone they prove nothing about the word behind them.
+COMMON_GIVEN = frozenset(
+    """will mark grace hope may june april august rose lily ivy daisy violet faith joy dawn eve iris jade amber crystal summer autumn art bill bob chase chuck cliff dale dean drew earl frank gene
+    grant guy harry jack jean josh lance lane max miles nick norm pat penny pierce ray reed rich rob robin rusty sandy skip sky sue ted tom victor wade ward stone belle claire merci soledad mercedes
+    dolores consuelo pilar paz luz esperanza concepción ernst wolf rainer""".split()
+)
+_PARTS = r"(?:(?:van|von|de|der|den|la|del|di|da|le|du|ten|ter) ){0,3}"
+_WORD = r"[^\W\d_]+(?:-[^\W\d_]+)?"
+#: A capitalized word, the next word of a name, an initial, a word in lower case.
+CAPITAL = re.compile(r"(?<![\w@.+\-/’'])([A-ZÀ-ÖØ-ÞŠŽŁŚŻČĆŘŞİ][^\W\d_]+(?:-[^\W\d_]+)?)(?= [^\W\d_]|, ?[^\W\d_])")
+REST = re.compile(rf" ?(?:[^\W\d_]\. ?)?{_PARTS}((?:[A-ZÀ-Þ]['’])?[A-ZÀ-ÖØ-ÞŠŽŁŚŻČĆŘŞİ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)(?![\w@+]|[.\-_]\w|['’](?!s\b)\w)")
+INITIALS = re.compile(r"(?<![\w@.+\-/’'])([A-ZÀ-ÖØ-Þ])\. ?(?:[A-ZÀ-ÖØ-Þ]\. ?)?(?=[A-ZÀ-Þ])")
+TURNED = re.compile(rf", ?(?:({_WORD})(?: [A-Z]\.)?|([A-ZÀ-Þ])\.)(?![\w@]|[.\-]\w)")
+LOWER = re.compile(rf"(?<![\w@.+\-/’'])([^\W\d_]{{3,}}(?:-[^\W\d_]+)?) (?:[^\W\d_]\. ?)?{_PARTS}([^\W\d_]{{3,}}(?:-[^\W\d_]+)?)(?![\w@+]|[.\-_]\w|['’](?!s\b)\w)")
+#: Titles, and words that lead to a name or follow one.
+TITLE = re.compile(r"(?<!\w)(?:mr|mrs|ms|mx|dr|prof|professor|sir|lady|herr|frau|mme|mlle|monsieur|madame|señor|señora|sr|sra|srta|don|doña)\.? $", re.I)
+_CUE = (
+    r"(?:by|cc|bcc|dear|hi|hello|hey|attn|signed|thanks|thank you|cheers|merci|gracias|danke|regards|sincerely|yours|grüße|saludos|cordialement|called|named|name is|i am|i['’]m|ich bin|je suis|soy|heiße|"
+    r"me llamo|je m['’]appelle|according to|laut|selon|según|ask(?: for)?|(?:talked|spoke|speak|talk|write|wrote|reply|replied) (?:to|with)|met|interviewed|it was|as|contact|author|von|par|por)[,:]?\s+"
+)
+CUE = re.compile(rf"(?<!\w){_CUE}$", re.I)
+#: A line of its own, as under a letter.
+LINE_START, LINE_END = re.compile(r"(?:^|\n)[>*\- ]*(?:[—–-]\s*)?$"), re.compile(r"\s*(?:\n|$)")
+LINE = re.compile(r"(?:^|\n|[.!?] )()(?=[a-zà-ÿ]{3,} [a-zà-ÿ]{3})")
+CUED = re.compile(rf"(?<!\w){_CUE}(?:(?:mr|mrs|ms|dr|prof|herr|frau|mme|mlle|sr|sra)\.? )?(?=(?-i:[^\W\d_A-Z]{{3}}))", re.I)
+SPEAKS = re.compile(r"^,? (?:said|says|wrote|writes|asked|asks|told|tells|thinks|thought|replied|answered|added|explained|argues|who|sagte|schrieb|meint|dit|écrit|dijo|escribió|here\b)(?!\w)", re.I)
 
 
 def _free(spans: list, start: int, end: int) -> bool:
-    return all(end <= s or e <= start for s, e, _ in spans)
+    return all(end <= x[0] or x[1] <= start for x in spans)
 
 
 #: Without one of these a text cannot match the pattern; looking for them first is many times faster than the pattern.
@@ -203,68 +224,63 @@ def _phones(t: str, spans: list) -> None:
 
 
 def _names(t: str, spans: list, given: frozenset) -> None:
-    for m in FAMILY.finditer(t):
-        family, start, end = m.group(1), m.start(1), m.end(1)
-        low = family.lower()
-        if low in WORDS_NOT_FAMILY or low in given or low in STOP or not _free(spans, start, end):
-            continue
-        capital = family[0].isupper()
-        b = BEFORE.search(t, max(0, start - 48), start)
-        if b:
-            first, at = b.group(1) or "", b.start()
-            known = first.lower() in given and (first.lower() not in STOP or first[0].isupper())
-            if not known and (first.lower() in STOP or first.lower() in WORDS_NOT_FAMILY):
-                # The word before belongs to the sentence; an initial after it still opens a name.
-                initial, at = b.group(2), b.start(2)
-                first = ""
-            else:
-                initial = b.group(3)
-            if initial and initial.isupper() == capital and _free(spans, at, start):
-                spans.append((at, end, "name"))
-                continue
-            if first and _free(spans, at, start):
-                looks = first[0].isupper() and capital and len(first) > 2
-                lower = first.islower() and not capital and len(first) > 3 and not low.endswith("wick")
-                if known or ((looks or lower) and not COMPANY.match(t[end : end + 16])):
-                    spans.append((at, end, "name"))
-                    continue
-        a = AFTER.match(t[end : end + 40])
-        if a:
-            second = a.group(1) or a.group(2)
-            known = second.lower() in given
-            shouted = family.isupper() and len(family) > 3 and second[0].isupper() and second.lower() not in STOP and (second.isupper() is False or len(second) == 1)
-            if (known and (capital or second.islower())) or shouted:
-                stop = end + a.end()
-                if _free(spans, start, stop):
-                    spans.append((start, stop, "name"))
-    for m in LISTED.finditer(t):
-        if m.group(1).lower() in given:
-            _plain_name(t, spans, m.start(1), m.end(1))
-    for m in TITLED.finditer(t):
-        _plain_name(t, spans, m.start(1), m.end(1))
-
-
-def _plain_name(t: str, spans: list, start: int, at: int) -> None:
-    """A name that opens from start to at, if a family name of whatever ending follows."""
-    m = REST.match(t, at)
-    if not m:
-        return
-    family, low, first = m.group(1), m.group(1).lower(), t[start:at]
-    if low in STOP or low in NOT_FAMILY or low in WORDS_NOT_FAMILY or COMPANY.match(" " + family) or COMPANY.match(t[m.end() : m.end() + 16]):
-        return
-    # A given name that is a word of the language, too, counts with a capital only, and not in a text in capitals.
-    if first.lower() in STOP and (first[0].islower() or (first.isupper() and family.isupper())):
-        return
-    if _free(spans, start, m.end()):
-        spans.append((start, m.end(), "name"))
+    """Names. Beside those that are certain, spans of kind name? with (given, family): names if the corpus proves the words elsewhere.
 
+    Certain: a given name of the list before a capitalized word; a title, or a word that leads to a name, before two capitalized words or an
+    initial and one; such words before what only persons do; a family name in capitals, a comma and a listed given name. Left open: other two
+    capitalized words, initials, turned names, and names in lower case.
+    """
 
-def find_pii(text: str | None, given: Iterable[str] = ()) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the occurrences, from 0, in order, none overlapping. Null and empty texts have none."""
+    def add(start: int, end: int, first: str, family: str, sure: bool, shown: bool = False) -> None:
+        if _free([x for x in spans if x[2] != "name?"], start, end):
+            spans.append((start, end, "name" if sure else "name?", first.lower(), family.lower(), shown))
+
+    def family_like(word: str, end: int) -> bool:
+        low = word.lower()
+        return not (low in STOP or low in NOT_FAMILY or COMPANY.match(" " + word) or COMPANY.match(t[end : end + 16]))
+
+    for m in CAPITAL.finditer(t):
+        first, low, start, at = m.group(1), m.group(1).lower(), m.start(1), m.end(1)
+        listed = low in given or low.split("-")[0] in given
+        if low in STOP and low not in given:
+            continue
+        before = t[max(0, start - 24) : start]
+        r = REST.match(t, at)
+        if r and family_like(r.group(1), r.end()):
+            shouted = first.isupper() and r.group(1).isupper()
+            titled = TITLE.search(before) is not None
+            # A word of the language that is a name, too, in a text in capitals or at the start of a sentence says nothing.
+            shown = titled or "'" in r.group(1) or "’" in r.group(1) or (not shouted and CUE.search(before) is not None and len(first) > 2) or (not shouted and (SPEAKS.match(t[r.end() : r.end() + 12]) is not None or (LINE_START.search(before) is not None and LINE_END.match(t, r.end()) is not None)))
+            add(start, r.end(), first, r.group(1), titled or (shown if not listed else low not in COMMON_GIVEN or shown), shown)
+        back = TURNED.match(t, at)
+        if back and family_like(first, at) and not listed:
+            second = back.group(1) or back.group(2)
+            if len(second) == 1 or (second[0].isupper() and second.lower() not in STOP - given):
+                loud = first.isupper() and len(first) > 3 and not (second.isupper() and len(second) > 1)
+                add(start, back.end(), second if len(second) > 1 else "", first, loud and second.lower() in given and second.lower() not in COMMON_GIVEN)
+    for m in INITIALS.finditer(t):
+        r = REST.match(t, m.end())
+        if r and family_like(r.group(1), r.end()):
+            before = t[max(0, m.start() - 24) : m.start()]
+            shown = TITLE.search(before) is not None or CUE.search(before) is not None
+            add(m.start(), r.end(), "", r.group(1), shown)
+    # In lower case: a listed name, or what follows a word that leads to a name.
+    starts = [m.end() for m in CUED.finditer(t)] + [m.end(1) for m in LINE.finditer(t)]
+    if not given.isdisjoint(t.split()):
+        starts += [m.start() for m in re.finditer(_WORD, t) if m.group(0) in given]
+    for at in sorted(set(starts)):
+        m = LOWER.match(t, at)
+        if m and m.group(1).islower() and m.group(2).islower() and m.group(1) not in STOP - given and m.group(2) not in STOP:
+            add(m.start(1), m.end(2), m.group(1), m.group(2), False)
+
+
+def raw_spans(text: str | None, given: Iterable[str] = ()) -> list[tuple]:
+    """(start, end, type) of what one text shows by itself, from 0. Names are (start, end, type, given, family, shown), of type name, or name? where
+    the text alone does not tell; shown: the words around them show a name."""
     if not isinstance(text, str) or not text:
         return []
     given = given if isinstance(given, frozenset) else frozenset(g.lower() for g in given)
-    spans: list[tuple[int, int, str]] = []
+    spans: list[tuple] = []
     _emails(text, spans)
     if any(c.isdigit() for c in text):
         _addresses(text, spans)
@@ -272,7 +288,49 @@ def find_pii(text: str | None, given: Iterable[str] = ()) -> list[tuple[int, int
             _ids(text, spans)
             _phones(text, spans)
     _names(text, spans, given)
-    return sorted(spans)
+    return spans
+
+
+def proves(span: tuple, given: frozenset) -> tuple[str | None, str | None]:
+    """The (given, family) that a span proves for others: a certain name its family name, and its given name where the words around it show a name."""
+    if span[2] != "name":
+        return None, None
+    return (span[3] if span[5] and span[3] not in given and span[3] else None), span[4]
+
+
+def holds(span: tuple, given: frozenset, givens: frozenset, families: frozenset) -> bool:
+    """Whether an open name is one, given the names that are proven: of a family name that is proven, and of an initial, a listed or a proven given name."""
+    return span[2] != "name?" or (span[4] in families and (not span[3] or span[3] in given or span[3] in givens))
+
+
+def without_overlaps(spans: Iterable[tuple]) -> list[tuple[int, int, str]]:
+    """(start, end, type) in order; of two that overlap the earlier, at one start the longer."""
+    out: list[tuple[int, int, str]] = []
+    for s in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or s[0] >= out[-1][1]:
+            out.append((s[0], s[1], s[2].rstrip("?")))
+    return out
+
+
+def find_pii(text: str | None, given: Iterable[str] = ()) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the occurrences in a text that stands alone, from 0, in order, none overlapping. Null and empty texts have none."""
+    given = given if isinstance(given, frozenset) else frozenset(g.lower() for g in given)
+    spans = raw_spans(text, given)
+    proven = [proves(s, given) for s in spans]
+    givens, families = frozenset(g for g, _ in proven if g), frozenset(f for _, f in proven if f)
+    return without_overlaps(s for s in spans if holds(s, given, givens, families))
+
+
+BIRTH = re.compile(
+    r"(?:\b(?:born(?: on)?|date of birth|birth ?date|dob|d\.o\.b\.|geboren(?: am)?|geburtsdatum|n[ée]{1,2}(?:\(e\))? le|date de naissance|nacid[oa] el|fecha de nacimiento)\s*(?:is|:|=|was)?\s*)"
+    r"(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)", re.I)
+
+
+def find_birth_dates(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, 'birth_date') of dates of birth that are announced as such. They are redacted, and are none of the types of find_pii."""
+    if not isinstance(text, str):
+        return []
+    return [(m.start(1), m.end(1), "birth_date") for m in BIRTH.finditer(text)]
 
 
 # ---------------------------------------------------------------- pseudonyms
@@ -310,16 +368,15 @@ def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
             return value
 
 
-def permute_in_format(text: str, key: bytes, tweak: str, keep: int = 0, back: bool = False) -> str:
-    """The digits and ASCII letters of a number, after the first `keep` characters, permuted as one value; all else stays where it is.
+def _permuted(text: str, key: bytes, tweak: str, back: bool = False) -> str:
+    """The digits and ASCII letters of a text permuted as one value, each staying a digit or a letter of its case; all else stays.
 
-    The tweak holds the type and the format, so the permutation is a bijection on all numbers of a format.
-    """
-    slots = [(i, a) for i, c in enumerate(text) if i >= keep for a in ALPHABETS if c in a]
+    The tweak holds the type and the shape, so the permutation is a bijection on all texts of a shape."""
+    slots = [(i, a) for i, c in enumerate(text) for a in ALPHABETS if c in a]
     size, value = 1, 0
     for i, a in slots:
         value, size = value * len(a) + a.index(text[i]), size * len(a)
-    shape = text[:keep] + "".join(next(("9Aa"[k] for k, a in enumerate(ALPHABETS) if c in a), c) for c in text[keep:])
+    shape = "".join(next(("9Aa"[k] for k, a in enumerate(ALPHABETS) if c in a), c) for c in text)
     value = feistel(value, size, key, f"{tweak}|{shape}", back)
     out = list(text)
     for i, a in reversed(slots):
@@ -328,6 +385,101 @@ def permute_in_format(text: str, key: bytes, tweak: str, keep: int = 0, back: bo
     return "".join(out)
 
 
+def _letter_23(digits: str) -> str:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23]  # fixed values of the Spanish check letter
+
+
+def _mod_11_10(digits: str) -> str:
+    p = 10
+    for d in digits:
+        p = ((int(d) + p) % 10 or 10) * 2 % 11
+    return str((11 - p) % 10)
+
+
+def _social_security(v: str) -> bool:
+    return v[:3] not in ("000", "666") and v[0] != "9" and v[3:5] != "00" and v[5:] != "0000"
+
+
+#: Numbers that can be verified, as (shape, value of the check, body that is permuted, rule for the body). The pseudonym of a valid one is valid.
+CHECKED = [
+    ("DNI", re.compile(r"\d{8}[A-Z]"), lambda v: _letter_23(v[:8]), slice(0, 8), None),
+    ("NIE", re.compile(r"[XYZ]\d{7}[A-Z]"), lambda v: _letter_23("XYZ".index(v[0]).__str__() + v[1:8]), slice(1, 8), None),
+    ("NIR", re.compile(r"[12]\d{2}(?:0[1-9]|1[0-2])\d{10}"), lambda v: f"{97 - int(v[:13]) % 97:02d}", slice(0, 13), re.compile(r"[12]\d{2}(?:0[1-9]|1[0-2])\d{8}").fullmatch),
+    ("IdNr", re.compile(r"[1-9]\d{10}"), lambda v: _mod_11_10(v[:10]), slice(0, 10), re.compile(r"[1-9]\d{9}").fullmatch),
+    ("SSN", re.compile(r"\d{9}"), lambda v: "" if _social_security(v) else "?", slice(0, 9), _social_security),
+]
+
+
+def checked_kind(canonical: str):
+    """The entry of CHECKED that a number without separators, in capitals, satisfies; None if it satisfies none."""
+    for kind in CHECKED:
+        _, shape, check, _, _ = kind
+        if shape.fullmatch(canonical) and (c := check(canonical)) != "?" and canonical.endswith(c):
+            return kind
+    return None
+
+
+def permute_id(canonical: str, key: bytes, back: bool = False) -> str:
+    """Another number of the same shape. One whose check digit or letter is right becomes one that is right, too, and the other way round: the body of
+    a valid number is permuted among the valid ones of its kind; an invalid one is walked on until it is no valid one."""
+    kind = checked_kind(canonical)
+    if kind is None:
+        value = canonical
+        while True:
+            value = _permuted(value, key, "id_number", back)
+            if checked_kind(value) is None:
+                return value
+    name, _, check, body, rule = kind
+    value = canonical[body]
+    while True:
+        value = _permuted(value, key, f"id_number|{name}", back)
+        if rule is None or rule(value):
+            break
+    out = canonical[: body.start] + value + canonical[body.stop :]
+    c = check(out)
+    return out[: len(out) - len(c)] + c if c else out
+
+
+#: Country codes of one and two digits; all others have three.
+_ONE, _TWO = "17", frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def phone_parts(written: str) -> tuple[str, str, list[int]]:
+    """(country code, the number behind it, the places of its digits in the writing); the prefixes + and 00 and a trunk zero in brackets are left aside.
+    A national number has no country code, and its leading zeros count to it."""
+    at = [i for i, c in enumerate(written) if c.isdigit()]
+    abroad = written.startswith("+") or written.startswith("00")
+    if not abroad:
+        zeros = len(written[at[0] :]) - len(written[at[0] :].lstrip("0")) if at else 0
+        return "0" * zeros, "".join(written[i] for i in at[zeros:]), at[zeros:]
+    if not written.startswith("+"):
+        at = at[2:]
+    digits = "".join(written[i] for i in at)
+    n = 1 if digits[:1] in _ONE else 2 if digits[:2] in _TWO else 3
+    trunk = re.search(r"\(0\)", written)
+    rest = [i for i in at[n:] if not (trunk and trunk.start() < i < trunk.end())]
+    return digits[:n], "".join(written[i] for i in rest), rest
+
+
+def permute_phone(written: str, key: bytes, back: bool = False) -> str:
+    """The number behind the country code permuted and laid into the same writing, so one number in two writings stays one number."""
+    code, number, places = phone_parts(written)
+    out = list(written)
+    for i, d in zip(places, _permuted(number, key, f"phone|{code}", back)):
+        out[i] = d
+    return "".join(out)
+
+
+def permute_written_id(written: str, key: bytes, back: bool = False) -> str:
+    """permute_id of the number without separators and letter case, laid into the same writing."""
+    places = [i for i, c in enumerate(written) if c.isascii() and c.isalnum()]
+    new = permute_id("".join(written[i] for i in places).upper(), key, back)
+    out = list(written)
+    for i, c in zip(places, new):
+        out[i] = c.lower() if written[i].islower() else c
+    return "".join(out)
+
+
 def permute_date(day: datetime.date, key: bytes, first: datetime.date = datetime.date(1900, 1, 1), last: datetime.date = datetime.date(2099, 12, 31), back: bool = False) -> datetime.date:
     """Another day of the range; the same day always becomes the same. Days outside the range stay."""
     if not first <= day <= last:
@@ -336,29 +488,52 @@ def permute_date(day: datetime.date, key: bytes, first: datetime.date = datetime
     return first + datetime.timedelta(days=feistel((day - first).days, n, key, "date", back))
 
 
+def permute_written_date(written: str, key: bytes, back: bool = False) -> str:
+    """A date in the order and with the separators it was written in (year first, else day first unless only month first is a date). What is no date
+    between 1900 and 2099 is permuted digit by digit."""
+    numbers = re.findall(r"\d+", written)
+    orders = ([0, 1, 2],) if len(numbers[0]) == 4 else ([2, 1, 0], [2, 0, 1])
+    for order in orders:
+        try:
+            day = datetime.date(*(int(numbers[k]) for k in order))
+        except ValueError:
+            continue
+        new = permute_date(day, key, back=back)
+        # Day first and month first are told apart by what is a date, so the result is laid down day first where it was read so.
+        parts = dict(zip(order, (new.year, new.month, new.day)))
+        it = iter(range(3))
+        return re.sub(r"\d+", lambda m: str(parts[next(it)]).zfill(len(m.group(0))), written)
+    return _permuted(written, key, "birth_date", back)
+
+
 def placeholder(value: str, kind: str, key: bytes) -> str:
-    """[PHONE:...] and [ID_NUMBER:...] with a number of the same format; [EMAIL:...], [NAME:...] and [ADDRESS:...] with a keyed token."""
+    """[PHONE:...], [ID_NUMBER:...] and [BIRTH_DATE:...] with another value in the same format; [EMAIL:...], [NAME:...] and [ADDRESS:...] with a keyed token."""
     if kind == "phone":
-        prefix = re.match(r"(?:\+|00)\d{1,2}(?=[ (./\-])", value)
-        return f"[PHONE:{permute_in_format(value, key, kind, prefix.end() if prefix else 0)}]"
+        return f"[PHONE:{permute_phone(value, key)}]"
     if kind == "id_number":
-        return f"[ID_NUMBER:{permute_in_format(value, key, kind)}]"
+        return f"[ID_NUMBER:{permute_written_id(value, key)}]"
+    if kind == "birth_date":
+        return f"[BIRTH_DATE:{permute_written_date(value, key)}]"
     plain = " ".join(value.casefold().split())
     return f"[{kind.upper()}:{hmac.new(key, f'{kind}|{plain}'.encode('utf-8', 'surrogatepass'), hashlib.sha256).hexdigest()[:12]}]"
 
 
-def redact(text: str | None, given: Iterable[str], key: bytes) -> str | None:
-    """The text with a placeholder for each occurrence and every other character as it was."""
-    spans = find_pii(text, given)
-    if not spans:
-        return text
+def replace_spans(text: str | None, spans: Iterable[tuple[int, int, str]], key: bytes) -> str | None:
+    """The text with a placeholder for each span and every other character as it was."""
+    if not isinstance(text, str):
+        return None
     out, at = [], 0
-    for s, e, kind in spans:
+    for s, e, kind in without_overlaps(spans):
         out += [text[at:s], placeholder(text[s:e], kind, key)]
         at = e
     return "".join([*out, text[at:]])
 
 
+def redact(text: str | None, given: Iterable[str], key: bytes) -> str | None:
+    """A text that stands alone with a placeholder for each occurrence and each date of birth."""
+    return replace_spans(text, [*find_pii(text, given), *find_birth_dates(text)], key)
+
+
 # ---------------------------------------------------------------- DataFrames
 def given_name_set(names: DataFrame, column: str = "given_name", most: int = 100_000) -> frozenset:
     """The list of given names, lower case. It is a fixed lexicon: more than `most` names are an error, not a broadcast."""
@@ -368,23 +543,59 @@ def given_name_set(names: DataFrame, column: str = "given_name", most: int = 100
     return frozenset(r[0] for r in rows)
 
 
-def occurrences(rows: DataFrame, key_cols: list[str], text_col: str, names: frozenset) -> DataFrame:
-    """key columns, pii_type, start_pos (from 1, in code points), end_pos: one row per occurrence."""
+SPANS = "array<struct<s:int,e:int,k:string,given:string,family:string,shown:boolean>>"
+
+
+def accepted_spans(rows: DataFrame, key_cols: list[str], text_col: str, names: frozenset) -> DataFrame:
+    """_key (a struct of the key columns), s, e (from 0), k: the occurrences of each text, names that only the corpus proves among them.
+
+    One pass over the texts writes down what each shows. A family name that some text shows for certain, and a given name that title or wording show,
+    are proven for all texts; the open names are joined with them by these words. Only names are moved, never texts, and no list of them is sent around.
+    """
 
     def found(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"pii_type": k, "start_pos": s + 1, "end_pos": e} for s, e, k in find_pii(t, names)] for t in text])
+        out = []
+        for t in text:
+            spans = raw_spans(t, names)
+            out.append([{"s": x[0], "e": x[1], "k": x[2], "given": x[3] if len(x) > 3 else None, "family": x[4] if len(x) > 3 else None, "shown": len(x) > 3 and x[5] and bool(x[3]) and x[3] not in names} for x in spans])
+        return pd.Series(out)
+
+    # Keys travel in a struct, so they may have any name.
+    raw = rows.select(F.struct(*key_cols).alias("_key"), F.pandas_udf(found, SPANS)(F.col(text_col)).alias("_spans")).where(F.size("_spans") > 0)
+    raw = materialize(raw, "spans").select("_key", F.explode("_spans").alias("o")).select("_key", "o.*")
+    certain, unsure = raw.where("k <> 'name?'"), raw.where("k = 'name?'")
+    families = certain.where("k = 'name'").select("family").distinct()
+    givens = certain.where("k = 'name' and shown").select("given").distinct()
+    listed = F.pandas_udf(lambda g: g.map(lambda x: not x or x in names).astype(bool), "boolean")(F.col("given"))
+    unsure = unsure.join(families, "family", "left_semi").withColumn("listed", listed)
+    held = unsure.where("listed").unionByName(unsure.where("not listed").join(givens, "given", "left_semi"))
+    return certain.select("_key", "s", "e", "k").unionByName(held.select("_key", "s", "e", F.lit("name").alias("k")))
+
+
+def spans_by_row(spans: DataFrame) -> DataFrame:
+    """_key, spans: array of s, e, k in order, of two that overlap the earlier, at one start the longer. A text's spans are no more than its words."""
+    each = F.transform(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("n"), "k"))), lambda x: F.struct(x["s"].alias("s"), (-x["n"]).alias("e"), x["k"].alias("k")))
+    kept = F.aggregate("_all", F.slice(F.col("_all"), 1, 0), lambda a, x: F.when((F.size(a) == 0) | (x["s"] >= F.get(a, F.size(a) - 1)["e"]), F.concat(a, F.array(x))).otherwise(a))
+    return spans.groupBy("_key").agg(each.alias("_all")).select("_key", kept.alias("spans"))
+
 
-    spans = F.pandas_udf(found, "array<struct<pii_type:string,start_pos:bigint,end_pos:bigint>>")
-    return rows.select(*key_cols, F.explode(spans(F.col(text_col))).alias("o")).select(*key_cols, "o.*")
+def occurrences(rows: DataFrame, key_cols: list[str], text_col: str, names: frozenset) -> DataFrame:
+    """key columns, pii_type, start_pos (from 1, in code points), end_pos: one row per occurrence. Keys tell the rows apart; null texts have none."""
+    spans = spans_by_row(accepted_spans(rows, key_cols, text_col, names)).select("_key", F.explode("spans").alias("o"))
+    return spans.select(*[F.col("_key")[c].alias(c) for c in key_cols], F.col("o.k").alias("pii_type"), (F.col("o.s") + 1).cast("long").alias("start_pos"), F.col("o.e").cast("long").alias("end_pos"))
 
 
-def redacted(rows: DataFrame, text_col: str, names: frozenset, key: bytes) -> DataFrame:
-    """The rows with the text column replaced; every other column as it is."""
+def redacted(rows: DataFrame, key_cols: list[str], text_col: str, names: frozenset, key: bytes) -> DataFrame:
+    """The rows with the text column replaced, dates of birth as well; every other column as it is. Keys tell the rows apart and may be null."""
 
-    def change(text: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, names, key) for t in text], dtype=object)
+    def change(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([replace_spans(t, [*((x["s"], x["e"], x["k"]) for x in (s if s is not None else ())), *find_birth_dates(t)], key) for t, s in zip(text, spans)], dtype=object)
 
-    return rows.withColumn(text_col, F.pandas_udf(change, "string")(F.col(text_col)))
+    spans = spans_by_row(accepted_spans(rows, key_cols, text_col, names))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), F.struct(*key_cols).alias("_own"))
+    joined = packed.join(spans, F.col("_own").eqNullSafe(F.col("_key")), "left")
+    new = F.pandas_udf(change, "string")(F.col("_row")[text_col], F.col("spans"))
+    return joined.select(*[(new if c == text_col else F.col("_row")[c]).alias(c) for c in rows.columns])
 
 
 def texts_with_pii(posts: DataFrame, citations: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = _p3_texts(spark, sf)
-    return pii.redacted(rows, "text", names, TEST_KEY)
+    return pii.redacted(rows, ["record_table", "record_key"], "text", names, TEST_KEY)
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
