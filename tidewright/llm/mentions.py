@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tidewright.operators.manifest import Manifest
-from tidewright.session import delete_path, scratch_path, spread
+from tidewright.session import delete_path, release, scratch_path, spread
 
 #: Parameters that track the way to a page and do not choose it.
 TRACKING = re.compile(
@@ -549,6 +549,7 @@ class AcceptedMentions:
         self._append(reduce(DataFrame.unionByName, taken), classes, part)
         for name in ("classes", "probes", "posts", "heavy", "near", "heavy_old", "heavy_new", "blocks", "heavy_near"):
             delete_path(self.spark, f"{work}/{name}")
+        release(self.spark)
         return reduce(DataFrame.unionByName, cases).select(F.col("least").alias("citation_id_a"), F.col("n").alias("citation_id_b"))
 
 
