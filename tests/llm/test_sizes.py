@@ -168,3 +168,36 @@ def test_split_table(spark):
     assert {r.doc_id for r in rows} == {1} and {r.setting_name for r in rows} == {"p"}
     assert all(r.text == long[r.start_pos - 1 : r.end_pos] for r in rows) and len(rows) == 2 * rows[0].pieces
     assert S.split_documents(docs.limit(0), [("p", 256, 32)]).count() == 0 and S.split_documents(docs, []).count() == 0
+
+
+def test_certificates_and_deviations(spark):
+    """Partitions add up to the packing and never lie below their bound; the deviation of a mix is that of its worst beginning."""
+    import random
+
+    from tidewright.llm import mixing, packing
+
+    rng = random.Random(4)
+    sizes = spark.createDataFrame([(i, rng.randrange(0, 230)) for i in range(900)], "doc_id long, tokens long")
+    settings = spark.createDataFrame([("a", 100), ("b", 64)], "setting_name string, capacity int")
+    packed = packing.materialize(packing.pack(packing.items_of(sizes, settings), group_size=200), "packed")
+    rows = packing.packing_certificates(packed).collect()
+    bins = {r.setting_name: r.containers for r in packing.packing_report(packed).collect()}
+    assert {s: sum(r.containers for r in rows if r.setting_name == s) for s in bins} == bins
+    assert all(r.containers >= r.least_containers and r.certified == (r.containers == r.least_containers) for r in rows)
+    docs = spark.createDataFrame([(i, "xy"[i % 2], rng.randrange(1, 90)) for i in range(400)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("m", "x", 3.0, 2), ("m", "y", 1.0, 2), ("m", "none", 1.0, 1)], "mix_name string, doc_source string, target_weight double, max_repeats int")
+    chosen = packing.materialize(mixing.mix(docs, targets), "mixed")
+    by_slot = {}
+    for r in chosen.collect():
+        by_slot.setdefault(r.slot, []).append((r.doc_source, r.tokens))
+    total, so_far, most = sum(t for v in by_slot.values() for _, t in v), {"x": 0, "y": 0}, {"x": 0.0, "y": 0.0}
+    for slot in sorted(by_slot):
+        here = {s for s, _ in by_slot[slot]}
+        for when in (0, 1):
+            if when:
+                for s, t in by_slot[slot]:
+                    so_far[s] += t
+            for s in here:
+                most[s] = max(most[s], abs(so_far[s] - {"x": 0.75, "y": 0.25}[s] * sum(so_far.values())) / total)
+    got = {r.doc_source: r.largest_deviation for r in mixing.deviations(chosen, targets).collect()}
+    assert got == {s: round(v, 6) for s, v in most.items()}

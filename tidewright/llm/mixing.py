@@ -114,6 +114,23 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int | None = Non
     return out.select("mix_name", "slot", F.col("source").alias("doc_source"), "doc_id", "repeat_no", "tokens", "position")
 
 
+def deviations(selection: DataFrame, targets: DataFrame) -> DataFrame:
+    """mix_name, doc_source, target_share, largest_deviation: over all beginnings of a mix, cut where a slot of the source begins or ends, the most by
+    which the source's tokens differ from its share of the tokens so far, in tokens of the whole mix. Sums run in two levels, over slots, not documents."""
+    slots = selection.groupBy("mix_name", "doc_source", "slot").agg(F.sum("tokens").alias("tokens")).withColumn("_bucket", F.floor(F.col("slot") / 65536))
+    every = slots.groupBy("mix_name", "slot", "_bucket").agg(F.sum("tokens").alias("all_tokens"))
+    every = running_start(every, ["mix_name"], ["slot"], F.col("all_tokens"), "all_before").select("mix_name", "slot", "all_before", "all_tokens")
+    own = running_start(slots, ["mix_name", "doc_source"], ["slot"], F.col("tokens"), "before").select("mix_name", "doc_source", "slot", "before", "tokens")
+    total = every.groupBy("mix_name").agg(F.sum("all_tokens").alias("total"))
+    want = shares(selection, targets).where("tokens > 0").select("mix_name", "doc_source", "target_share")
+    # Targets without documents leave their share to the others.
+    want = want.join(want.groupBy("mix_name").agg(F.sum("target_share").alias("sum")), "mix_name").withColumn("target_share", F.col("target_share") / F.col("sum")).drop("sum")
+    rows = own.join(every, ["mix_name", "slot"]).join(F.broadcast(want), ["mix_name", "doc_source"]).join(F.broadcast(total), "mix_name")
+    off = lambda a, b: F.abs(a - F.col("target_share") * b) / F.col("total")
+    most = F.greatest(off(F.col("before"), F.col("all_before")), off(F.col("before") + F.col("tokens"), F.col("all_before") + F.col("all_tokens")))
+    return rows.groupBy("mix_name", "doc_source", "target_share").agg(F.round(F.max(most), 6).alias("largest_deviation"))
+
+
 def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
     """Per mix and target: target share, actual share of the tokens, tokens, documents used, highest number of uses of one document."""
     want = targets.select("mix_name", source_name(F.col("doc_source")).alias("doc_source"), F.col("target_weight").cast("double").alias("w"), "max_repeats")

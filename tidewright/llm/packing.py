@@ -122,7 +122,8 @@ def _packed(items: DataFrame, prefix: str, group_size: int) -> DataFrame:
 
 
 def pack(items: DataFrame, rounds: int = 2, group_size: int = GROUP) -> DataFrame:
-    """Each item (setting_name, capacity, doc_id, part, from_token, tokens) with its container: columns bin and used.
+    """Each item (setting_name, capacity, doc_id, part, from_token, tokens) with its container: columns bin and used. Partitions above their bound
+    exchange documents and pack again `rounds` times at most, or until that gains nothing.
 
     Items are between 1 token and the capacity. Full items fill a container of their own without being dealt.
     """
@@ -175,6 +176,22 @@ def containers(packed: DataFrame) -> DataFrame:
     ).select("setting_name", "container", "capacity", "used_tokens", (F.col("capacity") - F.col("used_tokens")).alias("unused_tokens"), "items")
 
 
+def packing_certificates(packed: DataFrame) -> DataFrame:
+    """setting_name, partition, containers, least_containers, certified: what each partition of the finished packing holds against the bound that no
+    packing of its items can go below. Items that fill a container each are partition f. A partition's sizes are at most `capacity` rows."""
+    part = F.regexp_extract("bin", r"^(f|[a-h]\d+)", 1).alias("partition")
+    rows = packed.select("setting_name", "capacity", part, "bin", "tokens")
+    bins = rows.groupBy("setting_name", "partition").agg(F.countDistinct("bin").alias("containers"))
+    sizes = rows.groupBy("setting_name", "partition", "capacity", "tokens").count()
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        least = lower_bound(dict(zip(pdf["tokens"].tolist(), pdf["count"].tolist())), int(pdf["capacity"].iloc[0]))
+        return pd.DataFrame({"setting_name": pdf["setting_name"].iloc[:1], "partition": pdf["partition"].iloc[:1], "least_containers": [least]})
+
+    bounds = sizes.groupBy("setting_name", "partition").applyInPandas(bound, "setting_name string, partition string, least_containers bigint")
+    return bins.join(bounds, ["setting_name", "partition"]).withColumn("certified", F.col("containers") == F.col("least_containers"))
+
+
 def packing_report(packed: DataFrame) -> DataFrame:
     """Per setting: containers, the bound no packing can go below, items, tokens and unused share. The bound needs only the number of items
     of each size, at most `capacity` rows."""

@@ -47,6 +47,10 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packing_report(packing.materialize(_packed(spark, sf), "packed"))
 
 
+def p6_certificates(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packing_certificates(packing.materialize(_packed(spark, sf), "packed"))
+
+
 def _mixed(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     sized = docs.select("doc_id", "source", packing.token_count(F.col("text")).alias("tokens"))
@@ -61,9 +65,13 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf), read(spark, sf, "mix_targets"))
 
 
+def p7_deviations(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.deviations(packing.materialize(_mixed(spark, sf), "mixed"), read(spark, sf, "mix_targets"))
+
+
 def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_documents(read(spark, sf, "documents"), splitting.split_settings(read(spark, sf, "size_settings")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p6_containers, p6_report, p7_selection, p7_shares, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p6_containers, p6_report, p6_certificates, p7_selection, p7_shares, p7_deviations, p8_pieces)}
 ORACLES: dict[str, str] = {}

@@ -16,6 +16,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidewright.session import spread
 from tidewright.llm.tokens import VOCABULARY, Tokenizer, tokenizer
 
 #: Starts of sections: markdown and HTML headings, rules, form feeds, headings of version lists.
@@ -220,7 +221,8 @@ def split_documents(documents: DataFrame, settings: list[tuple[str, int, int]],
     columns = [c.split()[0] for c in PIECES.split(", ")]
     if not settings:
         return documents.sparkSession.createDataFrame([], PIECES)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInPandas(cut, PIECES)
+    # Long texts come in runs, so few large tasks would end far apart.
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), 3).mapInPandas(cut, PIECES)
 
 
 def split_settings(settings: DataFrame) -> list[tuple[str, int, int]]:
