@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,42 @@ def test_kinds(spark):
     df = spark.createDataFrame([(w,) for w in WORDINGS], "e string").select("e", changefeed.change_kind(F.col("e")).alias("k"))
     names = {"c": "created", "x": "updated", "p": "published", "u": "unpublished", "d": "deleted"}
     assert all(r.k == names[kind(r.e)] for r in df.collect())
+
+
+def test_store_opens_in_another_application(spark, tmp_path):
+    """One process upserts; another reads, upserts, merges the runs and removes the older files."""
+    code = """
+import sys
+sys.path[:0] = %r
+import tests.test_problems as t
+from pyspark.sql import SparkSession
+from tidewright.operators import messages
+spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    .config("spark.sql.warehouse.dir", "%s/warehouse").getOrCreate())
+store = messages.MessageStore(spark, ["_key", "_row"], root="file://%s/store")
+store.upsert(t.events(spark, t.CASES[:6]), "one")
+store.upsert(t.events(spark, t.CASES[4:9]), "two")
+""" % (sys.path[:6], tmp_path, tmp_path)
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+    store = messages.MessageStore(spark, ["_key", "_row"], root=f"file://{tmp_path}/store")
+    assert store.runs().count() > 0
+    store.upsert(events(spark, CASES[:6]), "one")
+    store.upsert(events(spark, CASES), "three")
+    store.compact()
+    store.vacuum()
+    kept = {r[0] for r in store.runs().select("_id").collect()}
+    assert kept == {c[0] for c in CASES} - set(drops(CASES)) and store.buckets == 2
+
+
+def test_a_state_is_committed_once(spark, tmp_path):
+    from tidewright.operators.manifest import Manifest
+
+    one, two = Manifest(spark, f"file://{tmp_path}/m"), Manifest(spark, f"file://{tmp_path}/m")
+    assert one.commit(0, {"a": 1}) == 1
+    with pytest.raises(RuntimeError):
+        two.commit(0, {"a": 2})
+    assert two.read() == (1, {"a": 1})
+    for k in range(1, 5):
+        one.commit(k, {"a": k + 1})
+    one.vacuum()
+    assert two.read() == (5, {"a": 5})

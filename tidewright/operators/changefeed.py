@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewright.operators.messages import micros, trimmed
-from tidewright.session import materialize
+from tidewright.session import materialize, path_exists, scratch_path
 
 KEY = ["platform", "content_id"]
 
@@ -45,11 +45,19 @@ def changes(feed: DataFrame) -> DataFrame:
     ).where("content_id <> ''")
 
 
+KINDS = ("created", "updated", "published", "unpublished", "deleted")
+
+
 def newest_changes(rows: DataFrame) -> DataFrame:
-    """The last change of each key. A row with key, time and kind of an earlier delivered one is a repeat and does not count."""
-    once = rows.groupBy(*KEY, "us", "kind").agg(F.min("feed_seq").alias("feed_seq"))
-    top = F.max(F.struct(F.coalesce("us", F.lit(-(2**63))).alias("us"), "feed_seq", "kind")).alias("_t")
-    return once.groupBy(*KEY).agg(top).select(*KEY, "_t.us", "_t.feed_seq", "_t.kind")
+    """The last change of each key. A row with key, time and kind of an earlier delivered one is a repeat and does not count.
+
+    Of each kind only the newest time counts, and there the first delivery; so a key has five candidates at most, which are formed before the shuffle.
+    """
+    at = F.struct(F.coalesce("us", F.lit(-(2**63))).alias("us"), (-F.col("feed_seq")).alias("back"))
+    each = [F.max(F.when(F.col("kind") == k, at)).alias(k) for k in KINDS]
+    found = rows.groupBy("platform", "content_id").agg(*each)
+    top = F.array_max(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k)["us"].alias("us"), (-F.col(k)["back"]).alias("feed_seq"), F.lit(k).alias("kind"))) for k in KINDS]))
+    return found.select(*KEY, top.alias("_t")).select(*KEY, "_t.us", "_t.feed_seq", "_t.kind")
 
 
 def same_key(a: str, b: str) -> Column:
@@ -57,21 +65,28 @@ def same_key(a: str, b: str) -> Column:
 
 
 def resolve_newest_first(rows: DataFrame, batches: int = 4) -> DataFrame:
-    """platform, content_id, us, feed_seq, kind: the image or tombstone that each key ends with."""
-    cuts = rows.approxQuantile("us", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
-    edges = [None, *sorted({int(c) for c in cuts}), None]
-    us, resolved = F.col("us"), None
-    for a, b in reversed(list(zip(edges, edges[1:]))):
-        cond = F.lit(True)
-        if a is not None:
-            cond = cond & (us >= a)
-        if b is not None:
-            cond = cond & (us < b)
-        part = newest_changes(rows.where(cond if a is not None else cond | us.isNull()))
+    """platform, content_id, us, feed_seq, kind: the image or tombstone that each key ends with.
+
+    The feed is read once, and its keys, times and kinds are written by range of change time; each range is then read from its own folder. What a range
+    holds of a key is one row when it meets the keys that newer ranges resolved, so neither the join nor the sums gather a busy key.
+    """
+    cuts = sorted({int(c) for c in rows.approxQuantile("us", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
+    place = F.lit(0)
+    for k, c in enumerate(cuts):
+        place = F.when(F.col("us") >= c, k + 1).otherwise(place)
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "changes")
+    rows.withColumn("_range", place).write.partitionBy("_range").parquet(path)
+    resolved = None
+    for k in reversed(range(len(cuts) + 1)):
+        if not path_exists(spark, f"{path}/_range={k}"):
+            continue
+        part = newest_changes(spark.read.schema(rows.schema).parquet(f"{path}/_range={k}"))
         if resolved is not None:
             part = part.alias("p").join(resolved.alias("r"), same_key("p", "r"), "left_anti")
         part = materialize(part, "resolved")
         resolved = part if resolved is None else resolved.unionByName(part)
+    if resolved is None:
+        return newest_changes(rows)
     return resolved
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import SparkSession
 
@@ -10,8 +11,10 @@ from pyspark.sql import SparkSession
 class Manifest:
     """A JSON state kept as numbered files under ``root/_manifest``; the highest number is current.
 
-    A commit writes a temporary file and renames it to the next number. The rename fails when that number exists, so of two writers
-    one loses and must redo its work against the newer state; readers see either the old or the new state, never a mixture.
+    A commit writes a temporary file and gives it the next number, which fails where that number is taken, so of two writers one loses and must redo
+    its work against the newer state; readers see either the old or the new state, never a mixture. On a local file system that is a hard link; on
+    others a rename, which the file system must do atomically and refuse where the name exists, as HDFS does. Object stores do neither: there only one
+    writer at a time may commit.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -46,7 +49,23 @@ class Manifest:
             out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         finally:
             out.close()
-        final = self._path(f"{self._dir}/{version + 1:010d}.json")
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+        name = f"{self._dir}/{version + 1:010d}.json"
+        if not self._take(tmp, self._path(name)):
             raise RuntimeError(f"version {version + 1} of {self.root} was committed by another writer")
         return version + 1
+
+    def _take(self, tmp, final) -> bool:
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(tmp.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(tmp, False)
+            return True
+        return not self._fs.exists(final) and self._fs.rename(tmp, final)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes all but the last `keep` states."""
+        for n in self._numbers()[:-keep]:
+            self._fs.delete(self._path(f"{self._dir}/{n:010d}.json"), False)

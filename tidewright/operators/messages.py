@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewright.operators.manifest import Manifest
-from tidewright.session import scratch_path, shuffle_partitions
+from tidewright.session import delete_path, scratch_path, shuffle_partitions
 
 BLANKS = " \t\r\n\x0b\x0c ﻿"
 LAST = 9223372036854775807
@@ -50,13 +50,28 @@ class MessageStore:
             state = {"buckets": buckets or shuffle_partitions(spark), "generation": 0, "runs": []}
             version = self.manifest.commit(0, state)
         self.buckets = state["buckets"]
+        self._known = 0
+
+    def _open(self, version: int, state: dict) -> None:
+        """Makes the runs that another application wrote known to this one, with their buckets, which the manifest holds."""
+        if version == self._known or not state.get("schema"):
+            return
+        table, path = self._table(state["generation"]), f"{self.root}/g{state['generation']}".replace("'", "\\'")
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(
+                f"CREATE TABLE {table} ({state['schema']}) USING parquet PARTITIONED BY (_run) "
+                f"CLUSTERED BY (_key) SORTED BY (_key, _ts, _id) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"MSCK REPAIR TABLE {table}")
+        self._known = version
 
     def _table(self, generation: int) -> str:
         return f"tw_messages_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{generation}"
 
     def _write(self, rows: DataFrame, run: int, generation: int) -> None:
         name = self._table(generation)
-        w = rows.withColumn("_run", F.lit(run)).write.mode("append").format("parquet").option("path", f"{self.root}/g{generation}")
+        rows = rows.withColumn("_run", F.lit(run))
+        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        w = rows.write.mode("append").format("parquet").option("path", f"{self.root}/g{generation}")
         w.partitionBy("_run").bucketBy(self.buckets, "_key").sortBy("_key", "_ts", "_id").saveAsTable(name)
 
     def _reduced(self, rows: DataFrame) -> DataFrame:
@@ -77,21 +92,21 @@ class MessageStore:
         if any(r["batch"] == batch_id for r in state["runs"]):
             return
         run = state.get("next", 0)
+        self._open(version, state)
         # A run that a failed attempt left behind is not in the manifest, and its number is taken again: it is written over.
         self._drop_run(state["generation"], run)
         rows = self._reduced(self.keyed(batch))
         self._write(rows.repartition(self.buckets, "_key"), run, state["generation"])
         state["runs"].append({"batch": batch_id, "run": run})
-        self.manifest.commit(version, state | {"next": run + 1})
+        self._known = self.manifest.commit(version, state | {"next": run + 1, "schema": self.schema})
 
     def _drop_run(self, generation: int, run: int) -> None:
-        from tidewright.session import delete_path
-
         delete_path(self.spark, f"{self.root}/g{generation}/_run={run}")
 
     def runs(self) -> DataFrame:
         """All rows of the live runs."""
-        _, state = self.manifest.read()
+        version, state = self.manifest.read()
+        self._open(version, state)
         live = [r["run"] for r in state["runs"]]
         return self.spark.table(self._table(state["generation"])).where(F.col("_run").isin(live) if live else F.lit(False))
 
@@ -100,18 +115,25 @@ class MessageStore:
         return self._reduced(self.runs().select("_key", "_ts", "_id", "_row"))
 
     def compact(self) -> None:
-        """Merges all runs into one of the next generation and switches to it; the older files stay for readers that still use them."""
+        """Merges all runs into one of the next generation and switches to it; the older files stay, until `vacuum`, for readers that still use them."""
         version, state = self.manifest.read()
         if len(state["runs"]) < 2:
             return
         after = state["generation"] + 1
-        from tidewright.session import delete_path
-
         self.spark.sql(f"DROP TABLE IF EXISTS {self._table(after)}")
         delete_path(self.spark, f"{self.root}/g{after}")
         self._write(self.messages(), 0, after)
         batches = [{"batch": r["batch"], "run": 0} for r in state["runs"]]
-        self.manifest.commit(version, state | {"generation": after, "runs": batches, "next": 1})
+        self._known = self.manifest.commit(version, state | {"generation": after, "runs": batches, "next": 1})
+
+
+    def vacuum(self) -> None:
+        """Removes older generations and states. Not while others read them."""
+        _, state = self.manifest.read()
+        for g in range(state["generation"]):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(g)}")
+            delete_path(self.spark, f"{self.root}/g{g}")
+        self.manifest.vacuum()
 
 
 def batch_slices(df: DataFrame, by: str, runs: int) -> list[DataFrame]:
