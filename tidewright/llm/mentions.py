@@ -395,15 +395,14 @@ class AcceptedMentions:
     @staticmethod
     def _only(rows: DataFrame, hashes: DataFrame, few: bool) -> DataFrame:
         """Rows of the given title or key hashes: read in place where the hashes are few enough to be sent around."""
-        hashes = hashes.select("th").distinct()
+        hashes = hashes.select("th")
         return rows.join(F.broadcast(hashes) if few else hashes, "th", "left_semi")
 
     def _probes(self, classes: DataFrame, ranges: set, few: bool, write) -> tuple[DataFrame, int, int]:
         """The classes whose title another text has, in the batch or in the store, as no other can repeat a different text; how many they are; and
         the most texts of a title."""
-        titles = classes.groupBy("th").agg(F.count("*").alias("texts"))
-        stored = self._only(self._stored(TEXT, ranges).select("th"), titles, few).groupBy("th").agg(F.count("*").alias("texts"))
-        shared = titles.unionByName(stored).groupBy("th").agg(F.sum("texts").alias("texts")).where("texts > 1")
+        titles = classes.select("th")
+        shared = titles.unionByName(self._only(self._stored(TEXT, ranges).select("th"), titles, few)).groupBy("th").agg(F.count("*").alias("texts")).where("texts > 1")
         probes, seen = write(classes.join(F.broadcast(shared) if few else shared, "th"), "probes", F.max("texts").alias("most"))
         return probes.drop("texts"), seen["rows"], seen["most"] or 0
 
@@ -509,7 +508,7 @@ class AcceptedMentions:
             df.observe(seen, F.count("*").alias("rows"), *more).write.mode("overwrite").parquet(f"{work}/{name}")
             return self.spark.read.schema(schema).parquet(f"{work}/{name}"), seen.get
 
-        rows = prepared.select(F.col("id").alias("n"), "u", "t").distinct()
+        rows = prepared.select(F.col("id").alias("n"), "u", "t")
         kept = F.min_by(F.struct("th", "title_key", "text", "bytes", "hs", "lens"), "id").alias("x")
         classes = prepared.where("t is not null").groupBy("t").agg(kept, F.min("id").alias("n")).select("t", "x.*", "n")
         if history:
@@ -529,8 +528,8 @@ class AcceptedMentions:
         probes, probing, most = self._probes(classes, ranges, few, write)
         near = self._near(probes, hits, most, ranges, few, write) if probing else self.spark.createDataFrame([], NEAR)
         least = each.select("n", "key").join(hits(near).groupBy("key").agg(F.min("n").alias("least")), "key").groupBy("n").agg(F.min("least").alias("least"))
-        seen, _ = write(rows.join(least, "n", "left"), "seen")
-        cases, taken, near, k = [seen.where("least is not null")], [], near.where("own").select("t", "other").distinct(), 0
+        seen, _ = write(rows.distinct().join(least, "n", "left"), "seen")
+        cases, taken, near, k = [seen.where("least is not null")], [], near.where("own").select("t", "other"), 0
         waiting = seen.where("least is null").drop("least")
         while True:
             # Open rows below all open rows that they could repeat are accepted; open rows that repeat one of those are cases.
