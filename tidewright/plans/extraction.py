@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import extract as X
+from tidewright.functions.entities import page_title
 from tidewright.functions.structure import word_count
 from tidewright.lexicons import words as L
-from tidewright.plans.content import _T, _WC, docs, lit
+from tidewright.plans.content import _T, _WC, docs, lit, win08_featured_paragraph
 from tidewright.plans.problems import read
 
 
@@ -22,31 +23,41 @@ def txt23_faq(spark, sf):
 
 
 def txt24_steps(spark, sf):
-    d = docs(spark, sf).select("doc_id", X.steps(F.col("t")).alias("s")).where(F.size("s") > 0)
-    return d.select("doc_id", F.size("s").alias("steps"), F.element_at("s", 1).getField("position").alias("first_position"), F.element_at("s", -1).getField("position").alias("last_position"))
+    """The steps of each text in order, with the title that instructions made of them would have."""
+    d = docs(spark, sf).select("doc_id", "t", X.steps(F.col("t")).alias("s")).where(F.size("s") > 0)
+    return d.select("doc_id", F.coalesce(page_title(F.col("t")), F.lit("How To")).alias("title"), F.posexplode("s").alias("place", "x")).select("doc_id", "title", "place", "x.position", "x.text")
 
 
 def txt25_readiness(spark, sf):
-    """35 for questions, 35 for steps, 30 for a first paragraph of at most 50 words, else 15."""
+    """35 for questions, 35 for steps, 30 for a featured paragraph of at most 50 words, else 15."""
     t = F.col("t")
-    from tidewright.functions.structure import paragraphs
+    d = docs(spark, sf).select("doc_id", F.size(X.faq_pairs(t)).alias("faq"), F.size(X.steps(t)).alias("steps"))
+    d = d.join(win08_featured_paragraph(spark, sf).select("doc_id", "words"), "doc_id", "left")
+    best = F.when(F.col("words").isNull(), 0).when(F.col("words") <= 50, 30).otherwise(15)
+    return d.select("doc_id", (F.when(F.col("faq") > 0, 35).otherwise(0) + F.when(F.col("steps") > 0, 35).otherwise(0) + best).alias("score"))
 
-    first = word_count(F.coalesce(F.try_element_at(paragraphs(t), F.lit(1)), F.lit("")))
-    d = docs(spark, sf).select("doc_id", F.size(X.faq_pairs(t)).alias("faq"), F.size(X.steps(t)).alias("steps"), first.alias("n"))
-    return d.select("doc_id", (F.when(F.col("faq") > 0, 35).otherwise(0) + F.when(F.col("steps") > 0, 35).otherwise(0) + F.when(F.col("n") == 0, 0).when(F.col("n") <= 50, 30).otherwise(15)).alias("score"))
+
+def _items(spark, sf):
+    return docs(spark, sf).select("doc_id", "t", X.list_items(F.col("t")).alias("i"))
 
 
 def txt31_items(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(X.list_items(F.col("t"))).alias("pos", "i")).select("doc_id", "pos", "i.title", "i.description", F.size("i.attributes").alias("attributes"))
+    d = _items(spark, sf).select("doc_id", F.posexplode("i").alias("pos", "i"))
+    facts = F.array_join(F.array_sort(F.transform(F.map_entries("i.attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return d.select("doc_id", "pos", "i.title", "i.description", facts.alias("attributes"))
 
 
 def txt32_comparison_tables(spark, sf):
     return docs(spark, sf).select("doc_id", X.comparison_table(F.col("t")).alias("comparison"))
 
 
+def txt33_faq_pages(spark, sf):
+    d = docs(spark, sf).select("doc_id", X.faq_page(F.col("t")).alias("p"))
+    return d.select("doc_id", F.col("p.items").alias("items"), F.round("p.confidence", 6).alias("confidence"), F.length("p.transformed").alias("chars"))
+
+
 def txt35_top_lists(spark, sf):
-    d = docs(spark, sf).select("doc_id", X.list_items(F.col("t")).alias("i"))
-    return d.select("doc_id", X.top_n_list(F.col("i"), 5).alias("list"), F.least(F.size("i") / 5, F.lit(1.0)).alias("confidence"))
+    return _items(spark, sf).select("doc_id", X.top_n_list(F.col("i"), F.col("t"), 5).alias("list"), X.roundup(F.col("i"), F.col("t")).alias("roundup"), F.least(F.size("i") / 5, F.lit(1.0)).alias("confidence"))
 
 
 def txt36_sub_queries(spark, sf):
@@ -74,6 +85,8 @@ def txt38_engine_advice(spark, sf):
     return m.crossJoin(F.broadcast(engines)).select("source_kind", "engine", F.array_join(advice, ",").alias("advice"))
 
 
+from tidewright.plans.entities import _STRIP, _TITLE  # noqa: E402
+
 _KEY = "(?i)" + "|".join(L.KEY_INDICATORS)
 _MAIN = f"coalesce(nullif(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(query), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(lit(w) for w in L.QUERY_STOP_WORDS)})), ' '), ''), query)"
 _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(query, {lit('(?i)' + p)}) THEN '{n}'" for n, p in L.QUERY_INTENTS) + " ELSE 'general' END"
@@ -96,12 +109,15 @@ ORACLES = {
         p AS (SELECT doc_id, n, CASE WHEN hit THEN greatest(length(pre) - length(replace(pre, ' ', '')) + CASE WHEN contains(m, ' ') THEN 1 ELSE 0 END - 2, 0) ELSE n // 2 END AS position FROM b)
         SELECT doc_id, position, CASE WHEN n = 0 THEN 0 ELSE floor(round(CASE WHEN position <= 50 THEN 100.0 WHEN position <= 100 THEN 100 - (position - 50) * 0.4 WHEN position <= 200 THEN 80 - (position - 100) * 0.3
         ELSE greatest(0.0, 50 - (position - 200) * 0.1) END::DOUBLE, 9) + 0.5)::BIGINT END AS score, position <= 100 AND n > 0 AS optimal FROM p""",
-    "txt24_steps": f"""WITH {_T}, a AS (SELECT doc_id, regexp_extract_all(t, '(?im)^Step\\s+(\\d+):\\s*(.+)', 1) AS x, regexp_extract_all(t, '(?m)^(\\d+)\\.\\s+(.+)', 1) AS y FROM d),
-        b AS (SELECT doc_id, list_sort(list_transform(CASE WHEN len(x) > 0 THEN x ELSE y END, lambda n: substr(n, 1, 9)::INT)) AS z FROM a) SELECT doc_id, len(z) AS steps, z[1] AS first_position, z[-1] AS last_position FROM b WHERE len(z) > 0""",
+    "txt24_steps": f"""WITH {_T}, a AS (SELECT doc_id, t, regexp_extract_all(t, '(?im)^Step\\s+(\\d+):\\s*(.+)', 1) AS x, regexp_extract_all(t, '(?im)^Step\\s+(\\d+):\\s*(.+)', 2) AS xt,
+        regexp_extract_all(t, '(?m)^(\\d+)\\.\\s+(.+)', 1) AS y, regexp_extract_all(t, '(?m)^(\\d+)\\.\\s+(.+)', 2) AS yt FROM d),
+        b AS (SELECT doc_id, t, CASE WHEN len(x) > 0 THEN list_transform(x, lambda n, i: {{'p': TRY_CAST(n AS BIGINT), 'i': i, 't': xt[i]}}) ELSE list_transform(y, lambda n, i: {{'p': TRY_CAST(n AS BIGINT), 'i': i, 't': yt[i]}}) END AS z FROM a),
+        c AS (SELECT doc_id, t, unnest(z) AS s FROM b WHERE len(z) > 0)
+        SELECT doc_id, coalesce({_STRIP.format(_TITLE)}, 'How To') AS title, (row_number() OVER (PARTITION BY doc_id ORDER BY s.p NULLS FIRST, s.i) - 1)::INT AS place, s.p AS position, {_STRIP.format('s.t')} AS text FROM c""",
     "txt36_sub_queries": f"WITH q AS (SELECT DISTINCT title AS query FROM reddit_posts WHERE title IS NOT NULL), m AS (SELECT query, {_MAIN} AS main, {_INTENT} AS intent FROM q) SELECT query, intent, {', '.join(_sql_sub(e[0], e[4], e[5]) for e in L.ENGINES)} FROM m",
     "txt37_domain_overlap": """WITH d AS (SELECT DISTINCT source_kind AS k, lower(source_domain) AS d FROM discovered_citations WHERE source_domain IS NOT NULL), n AS (SELECT k, list(d) AS l FROM d GROUP BY 1)
         SELECT a.k AS a, b.k AS b, floor(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))) * 100 + 0.5) / 100 AS overlap FROM n a JOIN n b ON a.k < b.k""",
     "txt38_engine_advice": f"""WITH m AS (SELECT source_kind, max(is_earned_media::INT) AS earned, max(discovered_at) AS last FROM discovered_citations GROUP BY 1), e AS (SELECT * FROM (VALUES {', '.join(str(tuple(x[:4])) for x in L.ENGINES)}) AS t(engine, ew, lw, fw))
         SELECT source_kind, engine, concat_ws(',', CASE WHEN earned = 0 AND ew > 0.7 THEN 'earned' END, CASE WHEN lw > 0.7 THEN 'list' END, CASE WHEN last < TIMESTAMPTZ '2020-02-01 00:00:00+00' AND fw > 0.7 THEN 'fresh' END) AS advice FROM m, e""",
 }
-QUERIES = {f.__name__: f for f in (txt13_pyramid, txt23_faq, txt24_steps, txt25_readiness, txt31_items, txt32_comparison_tables, txt35_top_lists, txt36_sub_queries, txt37_domain_overlap, txt38_engine_advice)}
+QUERIES = {f.__name__: f for f in (txt13_pyramid, txt23_faq, txt24_steps, txt25_readiness, txt31_items, txt32_comparison_tables, txt33_faq_pages, txt35_top_lists, txt36_sub_queries, txt37_domain_overlap, txt38_engine_advice)}
