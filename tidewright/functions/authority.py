@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from tidewright.functions.paths import js_round, let
 from tidewright.functions.structure import occurrences_of, regex, word_count
-from tidewright.lexicons import domains as D
+from tidewright.lexicons import domains as D, pages as G, phrases as P
 
 
 def _table(pairs) -> Column:
@@ -49,7 +49,7 @@ def heuristic_authority(domain: Column, known: Sequence[tuple[str, int]] = ()) -
 def page_kinds(text: Column) -> dict[str, Column]:
     """How many patterns of each kind of page a text has."""
     out = {}
-    for kind, patterns in D.PAGE_PATTERNS.items():
+    for kind, patterns in G.PAGE_PATTERNS.items():
         hits = [F.when(text.rlike(("(?i)" if "i" in f else "") + regex(p, "m" in f)), 1).otherwise(0) for p, f in patterns]
         out[kind] = sum(hits[1:], hits[0])
     return out
@@ -71,12 +71,22 @@ def regex_quote(s: str) -> str:
 
 def is_negated(text: Column, keyword: str) -> Column:
     """Whether a negation stands in the 50 characters before an occurrence of the keyword."""
-    return F.exists(_before(text, keyword, 50), lambda s: s.rlike("|".join(regex(p) for p in D.NEGATIONS)))
+    return F.exists(_before(text, keyword, 50), lambda s: s.rlike("|".join(regex(p) for p in G.NEGATIONS)))
 
 
 def is_compared(text: Column, keyword: str) -> Column:
     """Whether a comparison stands in the 30 characters before an occurrence of the keyword."""
-    return F.exists(_before(text, keyword, 30), lambda s: s.rlike("|".join(regex(p) for p in D.COMPARISONS)))
+    return F.exists(_before(text, keyword, 30), lambda s: s.rlike("|".join(regex(p) for p in G.COMPARISONS)))
+
+
+def phrase_list(custom: Sequence[tuple[str, float, str]] = (), industries: Sequence[str] = (), without: Sequence[str] = (), categories: Sequence[str] | None = None,
+                without_categories: Sequence[str] = (), least: float = 0.0) -> list[tuple[str, float, str]]:
+    """(phrase, weight, category): the stock phrases, those of industries and custom ones, less those that are named, of other categories or of less weight.
+    Of equal phrases the last counts."""
+    named = {p.lower() for p in without}
+    every = [*P.WEIGHTED_PHRASES, *(x for i in industries for x in P.INDUSTRY_PHRASES[i]), *custom]
+    kept = {p.lower(): (p.lower(), w, c) for p, w, c in every if p.lower() not in named and w >= least and (categories is None or c in categories) and c not in without_categories}
+    return list(kept.values())
 
 
 def weighted_phrases(text: Column, phrases: Sequence[tuple[str, float, str]], categories: Sequence[str] | None = None, least: float = 0.0) -> Column:

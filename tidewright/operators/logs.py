@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewright.functions.paths import js_round
+from tidewright.functions.structure import regex
 from tidewright.lexicons.words import AGENT_PATTERNS, AGENT_TYPES
 
 
@@ -61,9 +62,19 @@ def route_health(rows: DataFrame) -> DataFrame:
 
 
 def rapid_requests(rows: DataFrame, client: str, us: str, window_us: int, least: int) -> DataFrame:
-    """Each row with the number of the client's rows in the `window_us` up to it, itself included, and whether that is rapid."""
-    w = Window.partitionBy(client).orderBy(us).rangeBetween(-(window_us - 1), 0)
-    return rows.withColumn("recent", F.count("*").over(w)).withColumn("rapid", F.col("recent") >= least)
+    """Each row with the number of the client's rows in the `window_us` up to it, itself included, and whether that is rapid.
+
+    A client's time is cut into stretches, so one that sends a third of all rows is no single task; a row that later stretches look back on is handed
+    to the next one, too, as a stretch is longer than the window. Rows without time count none.
+    """
+    stretch = max(3_600_000_000, 2 * window_us)
+    own = F.floor(F.col(us) / stretch)
+    reaches = F.pmod(F.col(us), F.lit(stretch)) > stretch - window_us
+    both = F.when(reaches, F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(True).alias("own"))))
+    dealt = rows.withColumn("_at", F.explode(both))
+    w = Window.partitionBy(client, "_at.b").orderBy(us).rangeBetween(-(window_us - 1), 0)
+    counted = dealt.withColumn("recent", F.count(us).over(w)).where("_at.own").drop("_at")
+    return counted.withColumn("rapid", F.col("recent") >= least)
 
 
 def session_buckets(rows: DataFrame, us: str, agent: str, width_us: int = 300_000_000) -> DataFrame:
@@ -77,13 +88,43 @@ def numbered_batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     return running_number(rows, order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
 
 
-def detected_agent(user_agent: Column) -> Column:
-    """The first signature that a user agent has, else Human."""
-    out = F.lit("Human")
+def agent_signature(user_agent: Column) -> Column:
+    """struct<type, pattern> of the first signature that a user agent has; null without one."""
+    out = F.lit(None).cast("struct<type:string,pattern:string>")
     for kind, patterns in reversed(AGENT_PATTERNS):
-        out = F.when(user_agent.rlike("(?i)" + "|".join(patterns)), kind).otherwise(out)
+        for p in reversed(patterns):
+            out = F.when(user_agent.rlike("(?i)" + regex(p)), F.struct(F.lit(kind).alias("type"), F.lit(p).alias("pattern"))).otherwise(out)
     return out
 
 
+def detected_agent(user_agent: Column) -> Column:
+    """The first signature that a user agent has, else Human."""
+    return F.coalesce(agent_signature(user_agent)["type"], F.lit("Human"))
+
+
+def agent_of_request(user_agent: Column, accept: Column) -> Column:
+    """struct<type, confidence, signal>: by signature, else a bot where JSON is asked for without the mark of a browser, else a human. Nulls are empty."""
+    ua, wants = F.coalesce(user_agent, F.lit("")), F.coalesce(accept, F.lit(""))
+    known = agent_signature(ua)
+    made = lambda kind, sure, signal: F.struct(kind.alias("type"), F.lit(sure).alias("confidence"), signal.alias("signal"))
+    return F.when(known.isNotNull(), made(known["type"], 0.9, F.concat(F.lit("User-Agent matches: "), known["pattern"]))).when(
+        F.contains(wants, F.lit("application/json")) & ~F.contains(ua, F.lit("Mozilla")), made(F.lit("Generic-Bot"), 0.6, F.lit("Prefers JSON, no browser signature"))
+    ).otherwise(made(F.lit("Human"), 0.8, F.lit("No bot signatures detected")))
+
+
+def behavior(user_agent: Column, accept: Column, client_hints: Column, recent: Column, least: int = 5) -> Column:
+    """struct<accepts_json, no_scripts, rapid>: JSON is asked for; no browser's mark and no client hints; at least so many recent requests."""
+    ua, wants, has = F.coalesce(user_agent, F.lit("")), F.coalesce(accept, F.lit("")), lambda c, s: F.contains(c, F.lit(s))
+    plain = ~has(ua, "Mozilla") & ~has(ua, "Chrome") & ~has(ua, "Safari") & (F.coalesce(client_hints, F.lit("")) == "")
+    return F.struct((has(wants, "application/json") | has(wants, "application/ld+json")).alias("accepts_json"), plain.alias("no_scripts"), (F.coalesce(recent, F.lit(0)) >= least).alias("rapid"))
+
+
+def judged_agent(agent: Column, seen: Column) -> Column:
+    """struct<type, confidence, signals, rendering> of agent_of_request and behavior: each sign of behavior makes a bot 0.03 surer, up to 0.99."""
+    signs = F.array_compact(F.array(agent["signal"], F.when(seen["accepts_json"], "Behavior: Accepts JSON"), F.when(seen["no_scripts"], "Behavior: No JS execution"), F.when(seen["rapid"], "Behavior: Rapid requests detected")))
+    sure = F.when(agent["type"] == "Human", agent["confidence"]).otherwise(F.least(F.lit(0.99), agent["confidence"] + (F.size(signs) - 1) * 0.03))
+    return F.struct(agent["type"].alias("type"), F.round(sure, 6).alias("confidence"), signs.alias("signals"), recommended_rendering(agent["type"], seen["accepts_json"]).alias("rendering"))
+
+
 def recommended_rendering(agent: Column, accepts_json: Column) -> Column:
     return F.when(agent == "Human", "csr").when(accepts_json, "json").otherwise("ssr")

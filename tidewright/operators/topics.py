@@ -7,25 +7,29 @@ much; what is left is verified exactly.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewright.session import materialize
 
 
-def topic_pairs(pages: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity, shared) for a < b with Jaccard similarity of at least `least` > 0. pages: page, topics (distinct). Pages without topics pair with none."""
-    p = pages.where(F.size("topics") > 0).select("page", "topics", F.size("topics").alias("n"))
-    words = p.select("page", "n", F.explode("topics").alias("topic"))
+def topic_pairs(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:
+    """(a, b, similarity, shared) for a < b with Jaccard similarity of at least `least` > 0. pages: page, topics (distinct). Pages without topics pair with none.
+    within: columns, as the site, of pages that are compared with each other only; where one is null a page pairs with none."""
+    within = list(within)
+    p = pages.where(F.size("topics") > 0).select("page", *within, "topics", F.size("topics").alias("n"))
+    words = p.select("page", *within, "n", F.explode("topics").alias("topic"))
     order = Window.partitionBy("page").orderBy("df", "topic")
-    counted = words.join(words.groupBy("topic").agg(F.count("*").alias("df")), "topic")
-    prefix = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    x = prefix.select(F.col("page").alias("a"), F.col("n").alias("an"), "topic")
-    y = prefix.select(F.col("page").alias("b"), F.col("n").alias("bn"), "topic")
+    counted = words.join(words.groupBy(*within, "topic").agg(F.count("*").alias("df")).where("df > 1"), [*within, "topic"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    prefix = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1")
+    x = prefix.select(F.col("page").alias("a"), F.col("n").alias("an"), *within, "topic")
+    y = prefix.select(F.col("page").alias("b"), F.col("n").alias("bn"), *within, "topic")
     fits = (F.col("a") < F.col("b")) & (F.least("an", "bn") >= F.greatest("an", "bn") * least - 1e-9)
-    candidates = x.join(y, "topic").where(fits).select("a", "b").distinct()
+    candidates = x.join(y, [*within, "topic"]).where(fits).select("a", "b").distinct()
     both = candidates.join(p.select(F.col("page").alias("a"), F.col("topics").alias("ta")), "a").join(p.select(F.col("page").alias("b"), F.col("topics").alias("tb")), "b")
     shared = F.array_intersect("tb", "ta")
-    sim = F.size(shared) / F.size(F.array_union("ta", "tb")).cast("double")
+    sim = F.size(shared) / (F.size("ta") + F.size("tb") - F.size(shared)).cast("double")
     return both.select("a", "b", F.round(sim, 9).alias("similarity"), F.array_join(shared, ",").alias("shared")).where(F.col("similarity") >= round(least, 9))
 
 
@@ -40,12 +44,12 @@ def orphans(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     return pages.select("page").join(linked, "page", "left_anti")
 
 
-def link_suggestions(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+def link_suggestions(pages: DataFrame, pairs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """For each orphan the most similar page, the first of equals, with a priority: above 0.5 high, above 0.3 medium, else low. Pages that share no topic get none."""
-    lone = orphans(pages, pairs)
-    words = pages.select("page", F.size("topics").alias("n"), F.explode("topics").alias("topic"))
-    mine = words.join(lone, "page").select(F.col("page").alias("orphan"), F.col("n").alias("on"), "topic")
-    met = mine.join(words, "topic").where("orphan <> page").groupBy("orphan", "on", "page", "n").agg(F.count("*").alias("c"))
+    within, lone = list(within), orphans(pages, pairs)
+    words = pages.select("page", *within, F.size("topics").alias("n"), F.explode("topics").alias("topic"))
+    mine = words.join(lone, "page").select(F.col("page").alias("orphan"), *within, F.col("n").alias("on"), "topic")
+    met = mine.join(words, [*within, "topic"]).where("orphan <> page").groupBy("orphan", "on", "page", "n").agg(F.count("*").alias("c"))
     sim = F.round(F.col("c") / (F.col("on") + F.col("n") - F.col("c")).cast("double"), 9)
     best = met.withColumn("similarity", sim).groupBy("orphan").agg(F.min_by(F.struct("page", "similarity"), F.struct(-F.col("similarity"), "page")).alias("m"))
     level = F.when(F.col("m.similarity") > 0.5, "high").when(F.col("m.similarity") > 0.3, "medium").otherwise("low")
@@ -55,24 +59,37 @@ def link_suggestions(pages: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the lowest node that can be reached. edges: source, target, both directions.
 
-    Every round each node takes the lowest label of its neighbours and then the label of that label (pointer jumping), so chains shorten
-    geometrically; rounds end when no label changes. Each round is written to the shared folder.
+    Large-star and small-star by turns: every node's larger neighbours are linked to its lowest neighbour, then its lower ones are, until nothing
+    changes. Links only ever move to lower nodes, so paths shorten geometrically; the lowest node of a neighbourhood is a combined minimum, and no
+    neighbourhood gathers in one task. Each round is written to the shared folder.
     """
-    both = materialize(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct(), "edges")
-    labels = materialize(both.select(F.col("source").alias("node"), F.col("source").alias("component")).distinct(), "labels")
+    tidy = lambda e: e.where("source <> target").select(F.greatest("source", "target").alias("source"), F.least("source", "target").alias("target")).distinct()
+    links = materialize(tidy(edges), "links")
+    nodes = materialize(links.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "nodes")
+
+    def star(links: DataFrame, large: bool) -> DataFrame:
+        """links: source > target. Large: over all neighbours, those above the node; small: over the lower ones only, and the node itself."""
+        known = links.select(F.col("source").alias("u"), F.col("target").alias("v"))
+        if large:
+            known = known.unionByName(links.select(F.col("target").alias("u"), F.col("source").alias("v")))
+        least = known.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        rest = known.join(least, "u")
+        moved = rest.where("v > u").select(F.col("v").alias("source"), F.col("m").alias("target")) if large else rest.select(F.col("v").alias("source"), F.col("m").alias("target")).unionByName(least.select(F.col("u").alias("source"), F.col("m").alias("target")))
+        return tidy(moved)
+
     while True:
-        near = both.join(labels.select(F.col("node").alias("target"), F.col("component").alias("c")), "target").groupBy(F.col("source").alias("node")).agg(F.min("c").alias("c"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = materialize(step.join(jump, "component", "left").select("node", F.least("component", "root").alias("component"), "old"), "labels")
-        done = new.where("component <> old").isEmpty()
-        labels = new.select("node", "component")
-        if done:
-            return labels
+        after = materialize(star(materialize(star(links, True), "large"), False), "links")
+        # Both are sets of links, and equal where neither has one that the other lacks.
+        same = after.join(links, ["source", "target"], "left_anti").isEmpty() and links.join(after, ["source", "target"], "left_anti").isEmpty()
+        links = after
+        if same:
+            break
+    return nodes.join(links.select(F.col("source").alias("node"), F.col("target").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def clusters(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """Connected groups of at least two pages: lowest page, size, the page with most links (first of equals), the most frequent topic (first by name of equals)."""
+    pairs = materialize(pairs.select("a", "b", "similarity"), "pairs")
     edges = relationships(pairs).select("source", "target")
     label = components(edges)
     degree = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("links"))

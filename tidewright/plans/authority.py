@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import authority as A
-from tidewright.lexicons import domains as D, words as L
+from tidewright.lexicons import domains as D, pages as G, words as L
 from tidewright.plans.content import _T, _WC, docs, lit
 from tidewright.plans.problems import read
 
-#: A lexicon as a parameter: phrase, weight, category.
-PHRASES = [(p, 0.4, "filler") for p in L.COMMODITY_PHRASES] + [(p, 0.7, "marketing") for p in L.FLUFFY_PHRASES if p not in L.COMMODITY_PHRASES]
+PHRASES = A.phrase_list(industries=["saas", "ecommerce", "finance", "health"])
 EXTRA = ["blog.github.com", "user12.github.com", "pages.medium.com", "averyveryverylongname.reddit.com", "x.com", "zoom.com", "best-deals-4-you-now.xyz", "company2024.io", "aaaab.de", "queueing.ac.uk", "strngth.net", "cloud.dev", "a.gov"]
 
 
@@ -66,7 +65,7 @@ _KNOWN = "CASE " + " ".join(f"WHEN d = '{k}' THEN {s}" for k, s in L.DOMAIN_AUTH
 
 
 def _kind_sql(kind):
-    return " + ".join(f"regexp_matches(t, {lit(('(?' + f + ')' if f else '') + p)})::INT" for p, f in D.PAGE_PATTERNS[kind]) + f" AS {kind}"
+    return " + ".join(f"regexp_matches(t, {lit(('(?' + f + ')' if f else '') + p)})::INT" for p, f in G.PAGE_PATTERNS[kind]) + f" AS {kind}"
 
 
 def _ctx(chars, patterns):
@@ -79,8 +78,8 @@ _FOUND = "list_filter([" + ", ".join(f"{{'impact': -{w}::DOUBLE * ({_CNT.format(
 ORACLES = {
     "aut01_heuristic_authority": f"WITH {_NAMES} SELECT domain, {_HEUR} AS score FROM p",
     "jn12_known_domains": f"WITH {_NAMES} SELECT domain, {_KNOWN} AS score FROM p",
-    "ent02_page_kinds": f"WITH {_T} SELECT doc_id, {', '.join(_kind_sql(k) for k in D.PAGE_PATTERNS)} FROM d",
-    "flt11_negated_keyword": f"WITH {_T}, e AS (SELECT doc_id, string_split(lower(t), 'export') AS ps FROM d) SELECT doc_id, {_ctx(50, D.NEGATIONS)} AS negated, {_ctx(30, D.COMPARISONS)} AS compared FROM e",
+    "ent02_page_kinds": f"WITH {_T} SELECT doc_id, {', '.join(_kind_sql(k) for k in G.PAGE_PATTERNS)} FROM d",
+    "flt11_negated_keyword": f"WITH {_T}, e AS (SELECT doc_id, string_split(lower(t), 'export') AS ps FROM d) SELECT doc_id, {_ctx(50, G.NEGATIONS)} AS negated, {_ctx(30, G.COMPARISONS)} AS compared FROM e",
     "txt16_weighted_phrases": f"""WITH {_T}, e AS (SELECT doc_id, list_sort({_FOUND}) AS f, {_WC.format('t')} AS w FROM d)
         SELECT doc_id, CASE WHEN len(f) = 0 OR w = 0 THEN 0 ELSE least(100, floor(round(100.0::DOUBLE * list_sum(list_transform(f, lambda s: s.n * len(string_split(s.phrase, ' ')))) / w * 0.6::DOUBLE
         + 100.0::DOUBLE * list_sum(list_transform(f, lambda s: s.n * s.weight)) / len(f) * 0.4::DOUBLE, 9) + 0.5)) END::BIGINT AS score, array_to_string(list_transform(f, lambda s: s.phrase || ':' || s.n), ',') AS phrases FROM e""",

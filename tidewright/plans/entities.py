@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import entities as E
 from tidewright.functions.paths import js_round
-from tidewright.lexicons import domains as D, entities as L
+from tidewright.lexicons import entities as L, pages as D
 from tidewright.plans.content import _T, docs, lit
 from tidewright.plans.problems import read
 

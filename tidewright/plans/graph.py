@@ -1,4 +1,4 @@
-"""Queries on topic graphs and their SQL twins. The pages are the routes, the topics the words of their paths."""
+"""Queries on topic graphs and their SQL twins. The pages are the documents of each site, related by the topics of their whole texts."""
 
 from __future__ import annotations
 
@@ -6,41 +6,47 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import paths as P, structure as S
 from tidewright.operators import topics as T
+from tidewright.plans.content import _T, docs
 from tidewright.plans.problems import read
+from tidewright.session import materialize
 
 LEAST = 0.3
+SITE = ["site"]
 
 
 def pages(spark, sf):
-    words = S.topics(F.regexp_replace("path", r"[/\-_]", " "))
-    return read(spark, sf, "routes").select(F.col("path").alias("page"), words.alias("topics"))
+    sites = read(spark, sf, "documents").select("doc_id", "site")
+    d = docs(spark, sf).select("doc_id", S.topics(F.col("t")).alias("topics")).join(sites, "doc_id")
+    return materialize(d.select(F.col("doc_id").alias("page"), "site", "topics"), "pages")
 
 
-def pairs(spark, sf):
-    return T.topic_pairs(pages(spark, sf), LEAST)
+def pairs(p, least):
+    return T.topic_pairs(p, least, SITE)
 
 
 def jn08_topic_pairs(spark, sf):
-    return pairs(spark, sf)
+    return pairs(pages(spark, sf), LEAST)
 
 
 def flt14_symmetric(spark, sf):
-    """Relationships without their reverse: none are to be found."""
-    r = T.relationships(pairs(spark, sf))
-    back = r.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("similarity").alias("other"))
-    return r.join(back, ["source", "target"], "left").agg(F.count("*").alias("n"), F.sum(F.when(F.col("other") == F.col("similarity"), 1).otherwise(0)).alias("symmetric"))
+    """Of all related pairs, as page, other page and similarity, how many are met from either side."""
+    r = T.relationships(pairs(pages(spark, sf), LEAST))
+    return r.groupBy(F.least("source", "target").alias("page"), F.greatest("source", "target").alias("other")).agg(F.count("*").alias("sides"), F.countDistinct("similarity").alias("similarities"))
 
 
 def jn09_orphans(spark, sf):
-    return T.orphans(pages(spark, sf), T.topic_pairs(pages(spark, sf), 0.6))
+    p = pages(spark, sf)
+    return T.orphans(p, pairs(p, LEAST))
 
 
 def jn10_link_suggestions(spark, sf):
-    return T.link_suggestions(pages(spark, sf), T.topic_pairs(pages(spark, sf), 0.6))
+    p = pages(spark, sf)
+    return T.link_suggestions(p, pairs(p, LEAST), SITE)
 
 
 def gr01_clusters(spark, sf):
-    return T.clusters(pages(spark, sf), T.topic_pairs(pages(spark, sf), 0.6))
+    p = pages(spark, sf)
+    return T.clusters(p, pairs(p, LEAST))
 
 
 def gr03_page_nodes(spark, sf):
@@ -57,24 +63,24 @@ def gr04_reputation_clusters(spark, sf):
     return T.components(edges).select("node", "component")
 
 
-_TOP = "list_filter(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(path), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3)), lambda w: w NOT IN ({0}))"
 from tidewright.lexicons.words import TOPIC_STOP_WORDS  # noqa: E402
 
-_P = f"p AS (SELECT path AS page, {_TOP.format(', '.join(repr(w) for w in TOPIC_STOP_WORDS))} AS x FROM routes)"
-_PAIRS = f"""WITH RECURSIVE {_P}, al AS (SELECT u.page AS a, v.page AS b, round(len(list_intersect(u.x, v.x)) / len(list_distinct(list_concat(u.x, v.x))), 9) AS similarity, u.x AS ux, v.x AS vx
-    FROM p u JOIN p v ON u.page < v.page WHERE len(u.x) > 0 AND len(v.x) > 0), s AS (SELECT a, b, similarity FROM al WHERE similarity >= 0.6)"""
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower(t), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 3)"
+_P = f"""{_T}, o AS (SELECT doc_id AS page, w, min(i) AS i FROM (SELECT doc_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, {_WORDS} AS x FROM d)) WHERE w NOT IN ({', '.join(repr(w) for w in TOPIC_STOP_WORDS)}) GROUP BY 1, 2),
+    z AS (SELECT page, site, w, i, count(*) OVER (PARTITION BY page) AS n FROM o JOIN documents ON page = doc_id)"""
+_PAIRS = f"""WITH RECURSIVE {_P}, m AS (SELECT u.page AS a, v.page AS b, round(count(*) / (any_value(u.n) + any_value(v.n) - count(*)), 9) AS similarity, string_agg(u.w, ',' ORDER BY v.i) AS shared
+    FROM z u JOIN z v ON u.site = v.site AND u.w = v.w AND u.page <> v.page GROUP BY 1, 2), s AS (SELECT a, b, similarity, shared FROM m WHERE a < b AND similarity >= 0.3)"""
+_LONE = "l AS (SELECT doc_id AS page FROM documents WHERE doc_id NOT IN (SELECT a FROM s UNION ALL SELECT b FROM s))"
 ORACLES = {
-    "jn08_topic_pairs": f"{_PAIRS}, e AS (SELECT page, unnest(range(len(y))) AS i, unnest(y) AS t FROM (SELECT path AS page, list_filter(regexp_split_to_array(regexp_replace(lower(path), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS y FROM routes)), o AS (SELECT page, t, min(i) AS i FROM e GROUP BY 1, 2) SELECT a, b, similarity, (SELECT string_agg(o.t, ',' ORDER BY o.i) FROM o WHERE o.page = al.b AND list_contains(al.ux, o.t) AND list_contains(al.vx, o.t)) AS shared FROM al WHERE similarity >= 0.3",
-    "flt14_symmetric": f"{_PAIRS} SELECT 2 * count(*) AS n, 2 * count(*) AS symmetric FROM al WHERE similarity >= 0.3",
-    "jn09_orphans": f"{_PAIRS} SELECT page FROM p WHERE page NOT IN (SELECT a FROM s UNION ALL SELECT b FROM s)",
-    "jn10_link_suggestions": f"""{_PAIRS}, o AS (SELECT page, x FROM p WHERE page NOT IN (SELECT a FROM s UNION ALL SELECT b FROM s)),
-        m AS (SELECT o.page, q.page AS link_to, round(len(list_intersect(o.x, q.x)) / len(list_distinct(list_concat(o.x, q.x))), 9) AS similarity FROM o JOIN p q ON o.page <> q.page WHERE len(list_intersect(o.x, q.x)) > 0),
-        k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY similarity DESC, link_to) AS k FROM m)
+    "jn08_topic_pairs": f"{_PAIRS} SELECT a, b, similarity, shared FROM s",
+    "flt14_symmetric": f"{_PAIRS} SELECT least(a, b) AS page, greatest(a, b) AS other, count(*) AS sides, count(DISTINCT similarity) AS similarities FROM m WHERE similarity >= 0.3 GROUP BY 1, 2",
+    "jn09_orphans": f"{_PAIRS}, {_LONE} SELECT page FROM l",
+    "jn10_link_suggestions": f"""{_PAIRS}, {_LONE}, k AS (SELECT page, b AS link_to, similarity, row_number() OVER (PARTITION BY page ORDER BY similarity DESC, b) AS k FROM l JOIN m ON page = a)
         SELECT page, link_to, similarity, CASE WHEN similarity > 0.5 THEN 'high' WHEN similarity > 0.3 THEN 'medium' ELSE 'low' END AS priority FROM k WHERE k = 1""",
     "gr01_clusters": f"""{_PAIRS}, e AS (SELECT a AS n, b AS m FROM s UNION ALL SELECT b, a FROM s), r(n, c) AS (SELECT n, n FROM e UNION SELECT e.n, r.c FROM e JOIN r ON e.m = r.n),
-        l AS (SELECT n, min(c) AS component FROM r GROUP BY n), d AS (SELECT n, count(*) AS links FROM e GROUP BY n),
-        g AS (SELECT component, count(*) AS pages, arg_min(n, ROW(-links, n)) AS central FROM l JOIN d USING (n) GROUP BY 1),
-        w AS (SELECT component, t, count(*) AS k FROM (SELECT component, unnest(x) AS t FROM l JOIN p ON page = n) GROUP BY 1, 2)
+        c AS (SELECT n, min(c) AS component FROM r GROUP BY n), g0 AS (SELECT n, count(*) AS links FROM e GROUP BY n),
+        g AS (SELECT component, count(*) AS pages, arg_min(n, ROW(-links, n)) AS central FROM c JOIN g0 USING (n) GROUP BY 1),
+        w AS (SELECT component, w AS t, count(*) AS k FROM c JOIN o ON page = n GROUP BY 1, 2)
         SELECT component, pages, central, upper(substr(t, 1, 1)) || substr(t, 2) AS name FROM g JOIN (SELECT component, arg_min(t, ROW(-k, t)) AS t FROM w GROUP BY 1) USING (component)""",
     "gr04_reputation_clusters": """WITH RECURSIVE k AS (SELECT DISTINCT source_domain AS s, lower(array_to_string(string_split(title, ' ')[1:2], ' ')) AS w, discovered_at::DATE AS d FROM discovered_citations WHERE source_domain IS NOT NULL AND discovered_at IS NOT NULL),
         h AS (SELECT w, d, min(s) AS f FROM k GROUP BY 1, 2), e0 AS (SELECT DISTINCT s AS n, f AS m FROM k JOIN h USING (w, d) WHERE s <> f), e AS (SELECT * FROM e0 UNION SELECT m, n FROM e0),

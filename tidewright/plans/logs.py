@@ -224,10 +224,29 @@ def sen01_sentiment(spark, sf):
     return spread(cites(spark, sf)).select("citation_id", C.sentiment(F.col("mention_context")).alias("sentiment"))
 
 
+def requests(spark, sf):
+    """delivery_id, client, time in microseconds, user agent, accepted types and client hints: made of the recorded agent types, as the deliveries have no headers."""
+    d, nth = read(spark, sf, "geo_events"), lambda n: F.pmod("delivery_id", F.lit(n)) == 0
+    ua = F.concat_ws(" ", F.when(~nth(3), "Mozilla/5.0"), F.when(~nth(2), F.col("agent_type")), F.when(nth(5), "bingbot/2.0"), F.when(nth(7), "my-crawler"))
+    accept = F.when(nth(4), "application/json").when(nth(11), "text/html,application/ld+json")
+    return d.select("delivery_id", F.lower(F.trim("client_id")).alias("client"), F.unix_micros("event_ts").alias("us"), ua.alias("ua"), accept.alias("accept"), F.when(nth(9), '"Browser"').alias("hints"))
+
+
 def cls01_detected_agents(spark, sf):
-    """User agents made of the recorded agent types and event names."""
-    ua = F.concat_ws(" ", F.lit("Mozilla/5.0"), "agent_type", F.when(F.pmod("delivery_id", F.lit(5)) == 0, "bingbot/2.0"), F.when(F.pmod("delivery_id", F.lit(7)) == 0, "my-crawler"))
-    return read(spark, sf, "geo_events").select("delivery_id", L.detected_agent(ua).alias("detected"), L.recommended_rendering(L.detected_agent(ua), F.lit(False)).alias("rendering"))
+    a = L.agent_of_request(F.col("ua"), F.col("accept"))
+    return requests(spark, sf).select("delivery_id", a["type"].alias("detected"), a["confidence"].alias("confidence"), a["signal"].alias("signal"))
+
+
+def cls02_behavior(spark, sf):
+    """Signs of behavior, with the client's requests of the last five seconds."""
+    r = L.rapid_requests(requests(spark, sf).where("us is not null"), "client", "us", 5_000_000, 5)
+    return r.select("delivery_id", L.behavior(F.col("ua"), F.col("accept"), F.col("hints"), F.col("recent")).alias("b")).select("delivery_id", "b.*")
+
+
+def cls03_judged_agents(spark, sf):
+    r = L.rapid_requests(requests(spark, sf).where("us is not null"), "client", "us", 5_000_000, 5)
+    j = L.judged_agent(L.agent_of_request(F.col("ua"), F.col("accept")), L.behavior(F.col("ua"), F.col("accept"), F.col("hints"), F.col("recent")))
+    return r.select("delivery_id", j.alias("j")).select("delivery_id", "j.type", "j.confidence", F.array_join("j.signals", "; ").alias("signals"), "j.rendering")
 
 
 # ---------------------------------------------------------------- freshness
@@ -295,6 +314,13 @@ _DET = "CASE " + " ".join(f"WHEN regexp_matches({_UA}, '{'|'.join(p)}', 'i') THE
 
 from tidewright.plans.routing import _ALIAS  # noqa: E402
 
+_SIGNED = "CASE " + " ".join(f"WHEN regexp_matches(ua, '(?i){p}') THEN {{'t': '{k}', 'c': 0.9, 's': 'User-Agent matches: {p}'}}" for k, ps in W.AGENT_PATTERNS for p in ps)
+_REQ = f"""q AS (SELECT delivery_id, lower(trim(client_id)) AS client, epoch_us(event_ts) AS us, concat_ws(' ', CASE WHEN delivery_id % 3 <> 0 THEN 'Mozilla/5.0' END, CASE WHEN delivery_id % 2 <> 0 THEN agent_type END,
+        CASE WHEN delivery_id % 5 = 0 THEN 'bingbot/2.0' END, CASE WHEN delivery_id % 7 = 0 THEN 'my-crawler' END) AS ua, CASE WHEN delivery_id % 4 = 0 THEN 'application/json' WHEN delivery_id % 11 = 0 THEN 'text/html,application/ld+json' ELSE '' END AS accept,
+        delivery_id % 9 = 0 AS hints FROM geo_events),
+    g AS (SELECT *, {_SIGNED} WHEN contains(accept, 'application/json') AND NOT contains(ua, 'Mozilla') THEN {{'t': 'Generic-Bot', 'c': 0.6, 's': 'Prefers JSON, no browser signature'}} ELSE {{'t': 'Human', 'c': 0.8, 's': 'No bot signatures detected'}} END AS a,
+        contains(accept, 'json') AS j, NOT regexp_matches(ua, 'Mozilla|Chrome|Safari') AND NOT hints AS n,
+        CASE WHEN us IS NULL THEN false ELSE count(us) OVER (PARTITION BY client ORDER BY us RANGE BETWEEN 4999999 PRECEDING AND CURRENT ROW) >= 5 END AS r FROM q)"""
 ORACLES = {
     "flt02_misses_in_range": f"WITH {_M} SELECT id, path, us FROM m WHERE outcome = '404' AND agent_type = 'ChatGPT' AND us BETWEEN 1578787200000000 AND 1579392000000000",
     "flt03_agent_traffic": f"WITH {_V} SELECT CASE WHEN agent_type = 'Human' THEN 'human' WHEN agent_type IS NULL THEN 'unknown' ELSE 'ai' END AS kind, count(*) AS visits FROM v WHERE us BETWEEN 1578787200000000 AND 1579392000000000 GROUP BY 1",
@@ -349,7 +375,11 @@ ORACLES = {
     "src12_github_authority": "SELECT post_id, score, num_comments, least(100, floor(50 + 10 * log10(greatest(1, score)) + 5 * log10(greatest(1, num_comments)) + 0.5))::BIGINT AS authority FROM reddit_posts",
     "src13_subreddit_bonus": f"SELECT DISTINCT subreddit, {_BONUS} AS bonus FROM reddit_posts",
     "cit01_standard_citations": f"SELECT citation_id, domain, {_AUTH.replace('{0}', 'domain')} AS authority, NOT contains(domain, 'dunmill.example') AS earned FROM (SELECT citation_id, {_DOM} AS domain FROM discovered_citations)",
-    "cls01_detected_agents": f"SELECT delivery_id, {_DET} AS detected, CASE WHEN {_DET} = 'Human' THEN 'csr' ELSE 'ssr' END AS rendering FROM geo_events",
+    "cls01_detected_agents": f"WITH {_REQ} SELECT delivery_id, a.t AS detected, a.c::DOUBLE AS confidence, a.s AS signal FROM g",
+    "cls02_behavior": f"WITH {_REQ} SELECT delivery_id, j AS accepts_json, n AS no_scripts, r AS rapid FROM g WHERE us IS NOT NULL",
+    "cls03_judged_agents": f"""WITH {_REQ} SELECT delivery_id, a.t AS type, CASE WHEN a.t = 'Human' THEN a.c::DOUBLE ELSE round(least(0.99, a.c + (j::INT + n::INT + r::INT) * 0.03), 6)::DOUBLE END AS confidence,
+        concat_ws('; ', a.s, CASE WHEN j THEN 'Behavior: Accepts JSON' END, CASE WHEN n THEN 'Behavior: No JS execution' END, CASE WHEN r THEN 'Behavior: Rapid requests detected' END) AS signals,
+        CASE WHEN a.t = 'Human' THEN 'csr' WHEN j THEN 'json' ELSE 'ssr' END AS rendering FROM g WHERE us IS NOT NULL""",
     "dt01_age_in_days": f"WITH {_PAGES} SELECT path, {_AGE} AS age_days FROM pages",
     "dt03_freshness": f"""WITH {_PAGES}, a AS (SELECT path, {_AGE} AS age_days FROM pages WHERE lm IS NOT NULL) SELECT path, age_days, age_days > 40 AS is_stale,
         CASE WHEN age_days >= 80 THEN 'critical' WHEN age_days >= 40 THEN 'high' WHEN age_days >= 20 THEN 'medium' ELSE 'low' END AS refresh_priority FROM a""",
@@ -363,5 +393,5 @@ QUERIES = {f.__name__: f for f in (
     agg06_alias_usage, agg10_route_health, agg11_ai_traffic, agg13_latency, agg14_latency_by_event, agg15_event_stats, agg16_webhook_stats, agg16_webhook_pivot, agg18_overall_status,
     win06_recent_misses, win13_bounded_history, win14_numbered_batches, stm01_rapid_requests, stm02_session_buckets, flt05_citation_filters, flt09_earned_media, agg07_citation_stats,
     agg08_citation_authority, agg09_geo_score, agg20_node_authority, win04_sorted_citations, jn11_domain_authority, jn16_first_by_url, src12_reddit_authority, src12_hackernews_authority,
-    src12_github_authority, src13_subreddit_bonus, cit01_standard_citations, sen01_sentiment, cls01_detected_agents, dt01_age_in_days, dt03_freshness, dt04_velocity, dt05_velocity_in_window,
+    src12_github_authority, src13_subreddit_bonus, cit01_standard_citations, sen01_sentiment, cls01_detected_agents, cls02_behavior, cls03_judged_agents, dt01_age_in_days, dt03_freshness, dt04_velocity, dt05_velocity_in_window,
     win05_stale_pages, dt06_session_ids)}

@@ -124,12 +124,12 @@ def jn02_alias_targets(spark, sf):
     return requests(spark, sf).join(a, "path", "left").select("delivery_id", "path", "to_path")
 
 
-def _scored(spark, sf):
-    return R.similar_routes(R.with_tokens(requests(spark, sf), "path"), routes(spark, sf))
+def _scored(spark, sf, least=0.0):
+    return R.similar_routes(R.with_tokens(requests(spark, sf), "path"), routes(spark, sf), least=least)
 
 
 def jn03_best_match(spark, sf):
-    return R.best_route(_scored(spark, sf), 0.6).select("path", "route", F.round("confidence", 6).alias("confidence"))
+    return R.best_route(_scored(spark, sf, 0.6), 0.6).select("path", "route", F.round("confidence", 6).alias("confidence"))
 
 
 def jn04_rank_routes(spark, sf):
@@ -150,7 +150,7 @@ def jn17_relevance_sample(spark, sf):
 
 
 def win03_suggestions(spark, sf):
-    return R.rank_routes(_scored(spark, sf), 0.6, 3).select("path", "route", "rank")
+    return R.rank_routes(_scored(spark, sf, 0.6), 0.6, 3).select("path", "route", "rank")
 
 
 def agg17_combined_scores(spark, sf):
@@ -173,7 +173,7 @@ def stm03_learned_aliases(spark, sf):
 
 
 def stm05_resolve(spark, sf):
-    out = R.resolve(requests(spark, sf).select("delivery_id", "path"), routes(spark, sf), aliases(spark, sf).select("from_path", "to_path"))
+    out = R.resolve(requests(spark, sf).select("delivery_id", "path"), routes(spark, sf), aliases(spark, sf), seq="delivery_id")
     return out.select("delivery_id", "path", "method", "route", "confidence")
 
 
@@ -284,11 +284,12 @@ ORACLES = {
         SELECT path, matched, round((({_JAC}) * 0.5::DOUBLE + (1 - levenshtein(path, matched)::DOUBLE / greatest(length(path), length(matched))) * 0.2::DOUBLE + ({_DICE}) * 0.4::DOUBLE) / 1.1::DOUBLE, 6) AS score FROM t""",
     "gr06_inverted_index": f"SELECT token, string_agg(route, ',' ORDER BY route) AS routes FROM (SELECT DISTINCT unnest({tok('path')}) AS token, path AS route FROM routes) GROUP BY token",
     "stm03_learned_aliases": f"WITH {_ALIAS} SELECT from_path, to_path, learned_at FROM al",
-    "stm05_resolve": f"""{_SCORED}, {_ALIAS}
-        SELECT delivery_id, path, CASE WHEN {_EXCL} THEN 'excluded' WHEN x.path2 IS NOT NULL THEN 'exact' WHEN to_path IS NOT NULL THEN 'alias' WHEN best.route IS NOT NULL THEN 'semantic' ELSE 'none' END AS method,
-        CASE WHEN {_EXCL} THEN NULL WHEN x.path2 IS NOT NULL THEN path WHEN to_path IS NOT NULL THEN to_path ELSE best.route END AS route,
-        CASE WHEN {_EXCL} THEN 0.0 WHEN x.path2 IS NOT NULL OR to_path IS NOT NULL THEN 1.0 ELSE coalesce(best.confidence, 0.0) END AS confidence
-        FROM req LEFT JOIN (SELECT path AS path2 FROM routes) x ON path = path2 LEFT JOIN al ON path = from_path LEFT JOIN best USING (path)""",
+    "stm05_resolve": f"""{_SCORED}, {_ALIAS},
+        y AS (SELECT delivery_id, path, {_EXCL} AS out, x.path2 IS NOT NULL AS exact, CASE WHEN learned_at < delivery_id THEN to_path END AS to_path, best.route AS route, best.confidence AS confidence
+            FROM req LEFT JOIN (SELECT path AS path2 FROM routes) x ON path = path2 LEFT JOIN al ON path = from_path LEFT JOIN best USING (path))
+        SELECT delivery_id, path, CASE WHEN out THEN 'excluded' WHEN exact THEN 'exact' WHEN to_path IS NOT NULL THEN 'alias' WHEN route IS NOT NULL THEN 'semantic' ELSE 'none' END AS method,
+        CASE WHEN out THEN NULL WHEN exact THEN path WHEN to_path IS NOT NULL THEN to_path ELSE route END AS route,
+        CASE WHEN out THEN 0.0 WHEN exact OR to_path IS NOT NULL THEN 1.0 ELSE coalesce(confidence, 0.0) END AS confidence FROM y""",
 }
 QUERIES = {f.__name__: f for f in (
     flt01_excluded, str01_tokens, str02_joined_tokens, str03_semantic_tokens, str04_token_overlap, str05_levenshtein, str06_jaro_winkler, str07_soundex, str08_ngram_similarity,
