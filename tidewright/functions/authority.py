@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewright.functions.paths import js_round, let
 from tidewright.functions.structure import occurrences_of, regex, word_count
@@ -46,6 +46,17 @@ def heuristic_authority(domain: Column, known: Sequence[tuple[str, int]] = ()) -
     return F.coalesce(exact, out)
 
 
+def domain_scores(names: DataFrame, column: str, told: DataFrame, least_sure: bool = True) -> DataFrame:
+    """domain (lower case, without www), score, source, confidence: what a service told of a domain (told: domain, score), else by its name; where the name is
+    not to be judged (least_sure off), 30 with little confidence. Each domain once."""
+    d = names.select(F.regexp_replace(F.lower(column), r"^www\.", "").alias("domain")).where("domain is not null").distinct()
+    known = told.select("domain", F.col("score").cast("int").alias("_told"))
+    guess = heuristic_authority(F.col("domain")).cast("int") if least_sure else F.lit(30)
+    out = d.join(known, "domain", "left")
+    return out.select("domain", F.coalesce("_told", guess).alias("score"), F.when(F.col("_told").isNull(), "heuristic").otherwise("api").alias("source"),
+                      F.when(F.col("_told").isNotNull(), 0.9).otherwise(0.5 if least_sure else 0.1).alias("confidence"))
+
+
 def page_kinds(text: Column) -> dict[str, Column]:
     """How many patterns of each kind of page a text has."""
     out = {}

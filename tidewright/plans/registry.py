@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import authority, content, entities, extraction, gain, graph, logs, problems, routing, sources, streams
+from tidewright.plans import authority, content, entities, extraction, gain, graph, logs, problems, records, routing, sources, streams
 
-MODULES = [problems, routing, logs, content, graph, sources, streams, extraction, authority, entities, gain]
+MODULES = [problems, routing, logs, content, graph, sources, streams, extraction, authority, entities, gain, records]
 
 
 def queries():

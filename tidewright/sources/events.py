@@ -33,3 +33,31 @@ def not_found_payload(path: Column, suggestions: Column, timed_out: bool = False
     message = "could not be resolved within the time limit." if timed_out else "was not found."
     return F.struct(F.lit("NOT_FOUND").alias("error"), F.lit(404).alias("code"), F.concat(F.lit('The requested path "'), path, F.lit(f'" {message}')).alias("message"),
                     path.alias("requested_path"), suggestions.alias("suggestions"), F.lit(timed_out).alias("timed_out"))
+
+
+def agent_is_ai(agent: Column) -> Column:
+    return F.when(agent.isNotNull(), agent != "Human")
+
+
+def page_event(page: Column, agent: Column, scores: dict[str, Column]) -> dict[str, Column]:
+    """An analysed page with its scores."""
+    return {"event_name": F.lit("geo_page_analyzed"), "category": F.lit("page_analysis"), "action": F.lit("analyzed"), "page_location": page, "is_ai_agent": agent_is_ai(agent), "metrics": F.struct(*[c.alias(k) for k, c in scores.items()])}
+
+
+def citation_event(domain: Column, authority: Column, sentiment: Column, earned: Column) -> dict[str, Column]:
+    return {"event_name": F.lit("geo_citation_discovered"), "category": F.lit("citation_discovery"), "action": F.lit("discovered"),
+            "details": F.struct(domain.alias("source_domain"), authority.alias("domain_authority"), sentiment.alias("sentiment"), earned.alias("is_earned_media"))}
+
+
+def schema_event(page: Column, types: Column, signed: Column, valid: Column) -> dict[str, Column]:
+    return {"event_name": F.lit("geo_schema_generated"), "category": F.lit("schema_generation"), "action": F.lit("generated"), "page_location": page,
+            "details": F.struct(types.alias("entity_types"), signed.alias("has_eeat"), valid.alias("validation_passed"))}
+
+
+def agent_event(page: Column, agent: Column, confidence: Column, signals: Column) -> dict[str, Column]:
+    return {"event_name": F.lit("geo_agent_detected"), "category": F.lit("agent_detection"), "action": F.lit("detected"), "page_location": page, "is_ai_agent": agent != "Human", "confidence": confidence,
+            "detection_signals": F.array_join(signals, ",")}
+
+
+def freshness_event(page: Column, stale: Column, priority: Column) -> dict[str, Column]:
+    return {"event_name": F.when(stale, "geo_content_stale").otherwise("geo_content_fresh"), "category": F.lit("freshness_check"), "action": F.when(stale, "stale_detected").otherwise("analyzed"), "page_location": page, "priority": priority}

@@ -107,3 +107,11 @@ def index_file(files: DataFrame, base: str, day: str) -> DataFrame:
 def read_sitemaps(spark, folder: str) -> DataFrame:
     """name, xml of the files in a folder; compressed ones are unpacked by the reader."""
     return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("xml"))
+
+
+def plain_entries(xml: Column) -> Column:
+    """array<struct<loc, lastmod, changefreq, priority>> of a sitemap read as it stands: nothing is decoded or checked; an index has none."""
+    blocks = F.filter(F.regexp_extract_all(xml, F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1)), lambda b: b.rlike("<loc>[^<]+</loc>"))
+    part = lambda b, n: F.nullif(trim(F.regexp_extract(b, f"<{n}>([^<]+)</{n}>", 1)), F.lit(""))
+    return F.when(is_index(xml), F.slice(F.transform(blocks, lambda b: F.struct(*[part(b, n).alias(n) for n in ("loc", "lastmod", "changefreq", "priority")])), 1, 0)).otherwise(
+        F.transform(blocks, lambda b: F.struct(*[part(b, n).alias(n) for n in ("loc", "lastmod", "changefreq", "priority")])))
