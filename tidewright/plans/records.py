@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import authority as A, entities as E, paths as P
 from tidewright.lexicons import words as W
 from tidewright.operators import logs as LG, records as R
-from tidewright.plans import authority as QA, content as QC, logs as QL, routing as Q
+from tidewright.plans import authority as QA, content as QC, entities as QE, logs as QL, routing as Q
 from tidewright.plans.content import lit
 from tidewright.plans.problems import read
 from tidewright.sources import events as EV, sitemap as SM
@@ -212,6 +212,7 @@ ORACLES = {
         SELECT DISTINCT d AS domain, coalesce(x, h)::INT AS score, CASE WHEN x IS NULL THEN 'heuristic' ELSE 'api' END AS source, CASE WHEN x IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM s LEFT JOIN t ON d = k""",
     "snk08_page_events": f"SELECT doc_id, 'geo_page_analyzed' AS event_name, 'page_analysis' AS category, 'analyzed' AS action, doc_id::VARCHAR AS page_location, CASE WHEN doc_id % 2 = 0 THEN false WHEN doc_id % 3 = 0 THEN true END AS is_ai_agent, score AS fact_density_score FROM ({QC.ORACLES['txt09_density']})",
     "snk08_citation_events": "SELECT citation_id, 'geo_citation_discovered' AS event_name, 'citation_discovery' AS category, 'discovered' AS action, lower(source_domain) AS source_domain, domain_authority, coalesce(sentiment, 'neutral') AS sentiment, is_earned_media FROM discovered_citations",
+    "snk08_schema_events": f"WITH {QE._FOUND} SELECT d.doc_id, 'geo_schema_generated' AS event_name, d.doc_id::VARCHAR AS page_location, count(e.doc_id)::INT AS types, count(e.doc_id) > 0 AS validation_passed FROM d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id",
     "snk08_agent_events": f"WITH {QL._REQ} SELECT delivery_id, 'geo_agent_detected' AS event_name, 'agent_detection' AS category, 'detected' AS action, delivery_id::VARCHAR AS page_location, a.t <> 'Human' AS is_ai_agent, a.c::DOUBLE AS confidence, a.s AS detection_signals FROM g",
     "snk08_freshness_events": f"SELECT path, CASE WHEN is_stale THEN 'geo_content_stale' ELSE 'geo_content_fresh' END AS event_name, 'freshness_check' AS category, CASE WHEN is_stale THEN 'stale_detected' ELSE 'analyzed' END AS action, path AS page_location, refresh_priority AS priority FROM ({QL.ORACLES['dt03_freshness']})",
     "snk04_llms_lines": f"""WITH {QC._S}, f AS (SELECT doc_id, pos, s FROM s WHERE length(s) > 20 AND length(s) < 200 AND {QC._STAT} ORDER BY doc_id, pos LIMIT 10)

@@ -241,6 +241,7 @@ ORACLES = {
     "str03_semantic_tokens": f"WITH {_REQ} SELECT path, array_to_string(list_sort(list_distinct({tok('path')})), ' ') AS tokens FROM (SELECT DISTINCT path FROM req)",
     "str04_token_overlap": f"WITH {_REQ}, t AS (SELECT path, matched, {tok('path')} AS x, {tok('matched')} AS y FROM prs) SELECT path, matched, round({_JAC}, 9) AS overlap FROM t",
     "str05_levenshtein": f"WITH {_REQ} SELECT path, matched, levenshtein(path, matched) AS distance FROM prs",
+    "str06_jaro_winkler": "SELECT DISTINCT route_details.requested_path AS path, route_details.matched_path AS matched, round(jaro_winkler_similarity(route_details.requested_path, route_details.matched_path), 9) AS similarity FROM geo_events WHERE route_details.requested_path IS NOT NULL AND route_details.matched_path IS NOT NULL",
     "str07_soundex": f"WITH {_REQ}, {_TOKENS} SELECT token, {sdx('token')} AS code FROM toks",
     "str08_ngram_similarity": f"WITH {_REQ}, t AS (SELECT path, matched, {_GRAM.format('path')} AS gx, {_GRAM.format('matched')} AS gy FROM prs) SELECT path, matched, round({_DICE}, 9) AS similarity FROM t",
     "str09_cosine_similarity": f"""WITH {_REQ}, t AS (SELECT path, matched, {_WORDS.format('path')} AS x, {_WORDS.format('matched')} AS y FROM prs),
