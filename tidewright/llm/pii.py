@@ -83,13 +83,22 @@ _EN = rf"{_UNIT}\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}})?,? (?:[NSEW]\.? )?(?:{_CAP} ){{
 # Without capitals: a street's type that is hardly anything else, after a word that leads to a place or before what ends an address.
 _TYPE_LOW = r"(?:street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|drive|dr|court|ct|close|crescent|mews|row|gardens|way|terrace|place|square|walk|grove|hill|parkway|highway|quay|wharf)"
 _LOW = rf"{_UNIT}\d{{1,5}}[a-z]? (?:[^\W\d_][\w'’\-]* ){{1,2}}{_TYPE_LOW}\b"
-_EN_LOW = rf"(?:(?:(?<=\bat )|(?<=\bto )|(?<=\bin )|(?<=\bon )|(?<=\bfrom ))(?:{_LOW})|{_LOW}(?=\.?(?: ?#\d|,? (?:apt|flat|unit|suite)\b|, [^\W\d_]{{3,}}|[.;!?]?(?:\s*$|\n))))"
+_LED = re.compile(r"\b(?:at|to|in|on|from) $", re.I)
+_ENDED = re.compile(r"\.?(?: ?#\d|,? (?:apt|flat|unit|suite)\b|, [^\W\d_]{3,}|[.;!?]?(?:\s*$|\n))", re.I)
 _FR = r"\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|all[ée]e|quai|cours|route|square|passage|sentier|villa)\s(?:(?:de|du|des|la|le|les|d['’]|l['’]|à|aux|et)\s?){0,3}[\w'’\-]+"
 _ES = r"(?:(?:Calle|C/|Cl\.|Avenida|Avda\.?|Av\.|Plaza|Pza\.|Paseo|Camino|Carretera|Ronda|Traves[ií]a|Pasaje)\s?(?:(?:de|del|la|las|los|el)\s){0,3}[\w'’\-]+(?:\s(?:(?:de|del|la|las|los|el|y)\s){0,2}[\w'’\-]+){0,3}?,?\s(?:n\.?[ºo°]\s?)?\d{1,4}\b)"
 _DE = r"[^\W\d_][\w\-]{2,}(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|damm|ufer|steig|pfad|chaussee|promenade)\s\d{1,4}(?:\s?[a-z])?\b"
 _DE_CAP = r"(?:[A-ZÄÖÜ][\w\-]+\s(?:Stra(?:ß|ss)e|Str\.|Weg|Allee|Gasse|Platz|Damm|Ufer|Ring|Markt)|(?:Am|An der|Auf dem|Im|Zum|Zur|Unter den)\s[A-ZÄÖÜ][\w\-]+)\s\d{1,4}(?:\s?[a-z])?(?=,\s\d{5})"
 _BOX = r"(?:P\.? ?O\.? ?Box|Postfach|Apartado(?: de Correos)?|B\.?P\.)\s\d{1,6}"
-STREETS = [re.compile(r"(?<![\w.\-/#])(?:" + p + r")", f) for p, f in ((_EN, 0), (_EN_LOW, re.I), (_FR, re.I), (_ES, re.I), (_DE, re.I), (_DE_CAP, 0), (_BOX, re.I))]
+#: Patterns of streets, with the words one of which a text has where the pattern can match; looking for them first is many times faster.
+STREETS = [(re.compile(r"(?<![\w.\-/#])(?:" + p + r")", f), hints) for p, f, hints in (
+    (_EN, 0, ()), (_LOW, re.I, ()), (_FR, re.I, ()),
+    (_ES, re.I, ("calle", "c/", "cl.", "avenida", "avda", "av.", "plaza", "pza", "paseo", "camino", "carretera", "ronda", "traves", "pasaje")),
+    (_DE, re.I, ("straße", "strasse", "str.", "weg", "allee", "gasse", "platz", "damm", "ufer", "steig", "pfad", "chaussee", "promenade")),
+    (_DE_CAP, 0, ("straße", "strasse", "str.", "weg", "allee", "platz", "damm", "ufer", "ring", "markt", "gasse", "am ", "an der", "auf dem", "im ", "zum", "zur", "unter den")),
+    (_BOX, re.I, ("box", "postfach", "apartado", "bp", "b.p")),
+)]
+_PLACE_CODE = re.compile(r",\s\d{5}")
 #: What may follow a street: unit, floor, postcode and town, state.
 TAIL = re.compile(
     r"\.?(?:,? ?(?:#\s?\d{1,4}|(?:Apt|Apartment|Unit|Suite|Ste|Flat|Floor|Room|Esc\.|Piso|Wohnung|Bat\.|Bât\.)\.? ?#?\w{1,5}|\d{1,2}\.?[ºª°o]\.? ?[A-Za-z]?\b))?"
@@ -131,7 +140,8 @@ COMMON_GIVEN = frozenset(
 _PARTS = r"(?:(?:van|von|de|der|den|la|del|di|da|le|du|ten|ter) ){0,3}"
 _WORD = r"[^\W\d_]+(?:-[^\W\d_]+)?"
 #: A capitalized word, the next word of a name, an initial, a word in lower case.
-CAPITAL = re.compile(r"(?<![\w@.+\-/’'])([A-ZÀ-ÖØ-ÞŠŽŁŚŻČĆŘŞİ][^\W\d_]+(?:-[^\W\d_]+)?)(?= [^\W\d_]|, ?[^\W\d_])")
+_UPPER = "A-ZÀ-ÖØ-ÞŠŽŁŚŻČĆŘŞİ"
+CAPITAL = re.compile(rf"(?<![\w@.+\-/’'])([{_UPPER}][^\W\d_]+(?:-[^\W\d_]+)?)(?= (?:[^\W\d_]\. ?)?{_PARTS}[{_UPPER}]|, ?[{_UPPER}])")
 REST = re.compile(rf" ?(?:[^\W\d_]\. ?)?{_PARTS}((?:[A-ZÀ-Þ]['’])?[A-ZÀ-ÖØ-ÞŠŽŁŚŻČĆŘŞİ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)(?![\w@+]|[.\-_]\w|['’](?!s\b)\w)")
 INITIALS = re.compile(r"(?<![\w@.+\-/’'])([A-ZÀ-ÖØ-Þ])\. ?(?:[A-ZÀ-ÖØ-Þ]\. ?)?(?=[A-ZÀ-Þ])")
 TURNED = re.compile(rf", ?(?:({_WORD})(?: [A-Z]\.)?|([A-ZÀ-Þ])\.)(?![\w@]|[.\-]\w)")
@@ -145,8 +155,14 @@ _CUE = (
 CUE = re.compile(rf"(?<!\w){_CUE}$", re.I)
 #: A line of its own, as under a letter.
 LINE_START, LINE_END = re.compile(r"(?:^|\n)[>*\- ]*(?:[—–-]\s*)?$"), re.compile(r"\s*(?:\n|$)")
-LINE = re.compile(r"(?:^|\n|[.!?] )()(?=[a-zà-ÿ]{3,} [a-zà-ÿ]{3})")
-CUED = re.compile(rf"(?<!\w){_CUE}(?:(?:mr|mrs|ms|dr|prof|herr|frau|mme|mlle|sr|sra)\.? )?(?=(?-i:[^\W\d_A-Z]{{3}}))", re.I)
+#: The same words as texts, to be looked for in lower case.
+CUES = (
+    "by cc bcc dear hi hello hey attn signed thanks cheers merci gracias danke regards sincerely yours grüße saludos cordialement called named laut selon según ask met interviewed as contact author von par por heiße soy".split()
+    + ["thank you", "name is", "i am", "i'm", "i’m", "ich bin", "je suis", "me llamo", "je m'appelle", "je m’appelle", "according to", "ask for", "it was"] + [f"{v} {w}" for v in ("talked", "spoke", "speak", "talk", "write", "wrote", "reply", "replied") for w in ("to", "with")]
+)
+CUES = [" " + c for c in CUES]
+AFTER_CUE = re.compile(r"[,:]?\s+(?:(?:mr|mrs|ms|dr|prof|herr|frau|mme|mlle|sr|sra)\.? )?(?=[^\W\d_])", re.I)
+SENTENCE = re.compile(r"(?:^|\n|[.!?] )(?=[a-zà-ÿ]{3,} [a-zà-ÿ]{3})")
 SPEAKS = re.compile(r"^,? (?:said|says|wrote|writes|asked|asks|told|tells|thinks|thought|replied|answered|added|explained|argues|who|sagte|schrieb|meint|dit|écrit|dijo|escribió|here\b)(?!\w)", re.I)
 
 
@@ -165,8 +181,10 @@ DENSE = re.compile(r"\d(?:[ .()/\-]{0,3}\d){5}")
 
 
 def _emails(t: str, spans: list) -> None:
-    patterns = [EMAIL] if _AT_HINT.search(t) else []
-    patterns += [SPELLED] if _DOT_HINT.search(t) else []
+    low = t.lower()
+    marked = "@" in t or ("AT" in t or "(" in t or "[" in t or "{" in t) and _AT_HINT.search(t)
+    patterns = [EMAIL] if marked else []
+    patterns += [SPELLED] if any(w in low for w in ("dot", "punkt", "punto", "point")) and _DOT_HINT.search(t) else []
     for p in patterns:
         for m in p.finditer(t):
             ending = m.group(3)
@@ -176,11 +194,16 @@ def _emails(t: str, spans: list) -> None:
 
 
 def _addresses(t: str, spans: list) -> None:
-    for p in STREETS:
+    low = t.lower()
+    for k, (p, hints) in enumerate(STREETS):
+        if hints and not any(h in low for h in hints) or k == 5 and not _PLACE_CODE.search(t):
+            continue
         for m in p.finditer(t):
             start, end = m.start(), m.end()
             if not _free(spans, start, end):
                 continue
+            if k == 1 and not (_LED.search(t, max(0, start - 8), start) or _ENDED.match(t, end)):
+                continue
             tail = TAIL.match(t, end)
             if tail:
                 end = tail.end()
@@ -231,9 +254,13 @@ def _names(t: str, spans: list, given: frozenset) -> None:
     capitalized words, initials, turned names, and names in lower case.
     """
 
+    taken = list(spans)
+
     def add(start: int, end: int, first: str, family: str, sure: bool, shown: bool = False) -> None:
-        if _free([x for x in spans if x[2] != "name?"], start, end):
+        if _free(taken, start, end):
             spans.append((start, end, "name" if sure else "name?", first.lower(), family.lower(), shown))
+            if sure:
+                taken.append(spans[-1])
 
     def family_like(word: str, end: int) -> bool:
         low = word.lower()
@@ -241,17 +268,20 @@ def _names(t: str, spans: list, given: frozenset) -> None:
 
     for m in CAPITAL.finditer(t):
         first, low, start, at = m.group(1), m.group(1).lower(), m.start(1), m.end(1)
-        listed = low in given or low.split("-")[0] in given
         if low in STOP and low not in given:
             continue
+        listed = low in given or low.split("-")[0] in given
         before = t[max(0, start - 24) : start]
         r = REST.match(t, at)
         if r and family_like(r.group(1), r.end()):
+            if listed and low not in COMMON_GIVEN:
+                add(start, r.end(), first, r.group(1), True)
+                continue
             shouted = first.isupper() and r.group(1).isupper()
             titled = TITLE.search(before) is not None
             # A word of the language that is a name, too, in a text in capitals or at the start of a sentence says nothing.
             shown = titled or "'" in r.group(1) or "’" in r.group(1) or (not shouted and CUE.search(before) is not None and len(first) > 2) or (not shouted and (SPEAKS.match(t[r.end() : r.end() + 12]) is not None or (LINE_START.search(before) is not None and LINE_END.match(t, r.end()) is not None)))
-            add(start, r.end(), first, r.group(1), titled or (shown if not listed else low not in COMMON_GIVEN or shown), shown)
+            add(start, r.end(), first, r.group(1), shown, shown)
         back = TURNED.match(t, at)
         if back and family_like(first, at) and not listed:
             second = back.group(1) or back.group(2)
@@ -265,7 +295,15 @@ def _names(t: str, spans: list, given: frozenset) -> None:
             shown = TITLE.search(before) is not None or CUE.search(before) is not None
             add(m.start(), r.end(), "", r.group(1), shown)
     # In lower case: a listed name, or what follows a word that leads to a name.
-    starts = [m.end() for m in CUED.finditer(t)] + [m.end(1) for m in LINE.finditer(t)]
+    low, starts = t.lower(), [m.end() for m in SENTENCE.finditer(t)]
+    plain = " " + low.replace("\n", " ").replace("(", " ").replace('"', " ").replace(">", " ")
+    for cue in CUES if len(low) == len(t) else ():
+        at = plain.find(cue)
+        while at >= 0:
+            m = AFTER_CUE.match(t, at + len(cue) - 1)
+            if m and low[m.end()] == t[m.end()]:
+                starts.append(m.end())
+            at = plain.find(cue, at + len(cue))
     if not given.isdisjoint(t.split()):
         starts += [m.start() for m in re.finditer(_WORD, t) if m.group(0) in given]
     for at in sorted(set(starts)):
