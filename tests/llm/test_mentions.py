@@ -228,8 +228,7 @@ def test_title_with_a_short_tail(spark):
     assert found(spark, rows) == brute(rows) == [(0, i) for i in range(1, 6)]
 
 
-@pytest.mark.parametrize("heavy", [3, 16, 64])
-@pytest.mark.parametrize("later", [(200,), (200, 201), (201, 200)])
+@pytest.mark.parametrize("heavy,later", [(3, (200,)), (64, (200,)), (3, (200, 201)), (16, (200, 201)), (64, (201, 200))])
 def test_what_a_batch_holds_besides_changes_nothing(spark, monkeypatch, heavy, later):
     """Seventy long texts hold the forty words of a short one; both later texts repeat the short one, whatever else is in their batch."""
     monkeypatch.setattr(M, "HEAVY", heavy)
