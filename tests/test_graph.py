@@ -1,5 +1,11 @@
 """Nodes and relations of pages whose contents are whole texts."""
 
+import random
+from collections import Counter
+
+import pytest
+
+from tidewright.operators import overlaps, topics
 from tidewright.plans import graph
 
 
@@ -15,3 +21,60 @@ def test_page_nodes_hash_the_whole_content(spark, tmp_path):
     spark.createDataFrame([(i, f"/p{i}", "T", t) for i, t in enumerate(texts)], "feed_seq long, path string, title string, content string").write.parquet(f"{tmp_path}/cms_events.parquet")
     got = {r.feed_seq: r.content_hash for r in graph.gr03_page_nodes(spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else reference_hash(t) for i, t in enumerate(texts)}
+
+
+def moved(spark):
+    """Rows shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """300 pages of one site that are all related, one that is related to none and one without a topic."""
+    folder = str(tmp_path_factory.mktemp("alike"))
+    texts = [f"alpha bravo charlie delta echoes foxtrot hotel india single{i}" for i in range(300)] + ["alpha unlike anything written elsewhere", ""]
+    spark.createDataFrame([(i, t, "s", None) for i, t in enumerate(texts)], "doc_id long, text string, site string, page_path string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def of_alike(spark, alike, query):
+    """Its rows, if it moves far fewer rows than the 44,850 pairs that are related."""
+    before = moved(spark)
+    rows = query(spark, alike).collect()
+    assert moved(spark) - before < 10_000
+    return rows
+
+
+def cases(seed=7):
+    """Pages of three sites, one of them null, with frequent and rare topics, many of equal similarity."""
+    rng = random.Random(seed)
+    rows = [(f"p{i:03}", rng.choice(["x", "x", "x", "y", None]), rng.sample("abcdefghij", rng.randrange(0, 9)) + [f"w{rng.randrange(150)}" for _ in range(1)]) for i in range(150)]
+    return rows + [("same", "x", ["a", "b"]), ("twin", "x", ["b", "a"]), ("none", "x", []), ("lone", "x", ["only", "here"])]
+
+
+def similar(rows):
+    """{(a, b): similarity} of all pairs of one site that share a topic, in both directions."""
+    sets = [(p, s, set(t)) for p, s, t in rows if s and t]
+    return {(a, b): round(len(x & y) / len(x | y), 9) for a, s, x in sets for b, u, y in sets if a != b and s == u and x & y}
+
+
+def met(spark, rows, least, what, sparse, block=16):
+    pages = spark.createDataFrame(rows, "page string, site string, topics array<string>")
+    return overlaps.meet(pages, least, ["site"], what, block, sparse).collect()
+
+
+LEASTS = pytest.mark.parametrize("least, sparse", [(0.3, 500), (0.3, 1), (0.6, 4), (1.0, 500)])
+
+
+@LEASTS
+def test_pairs_are_met_from_both_sides(spark, least, sparse):
+    rows = cases()
+    got = {tuple(r) for r in met(spark, rows, least, "sides", sparse)}
+    assert got == {(a, b, 2, 1) for (a, b), s in similar(rows).items() if a < b and s >= least}
+
+
+def test_symmetric_pairs_do_not_move(spark, alike):
+    got = of_alike(spark, alike, graph.flt14_symmetric)
+    assert sorted(map(tuple, got)) == [(a, b, 2, 1) for a in range(300) for b in range(a + 1, 300)]

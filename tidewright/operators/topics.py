@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidewright.operators.overlaps import meet
 from tidewright.session import materialize
 
 
@@ -33,6 +34,11 @@ def topic_pairs(pages: DataFrame, least: float, within: Sequence[str] = ()) -> D
     return both.select("a", "b", F.round(sim, 9).alias("similarity"), F.array_join(shared, ",").alias("shared")).where(F.col("similarity") >= round(least, 9))
 
 
+def sides(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:
+    """(page, other, sides, similarities) of all related pairs: from how many of the two sides each is met, and how many similarities are found."""
+    return meet(pages, least, within, "sides")
+
+
 def relationships(pairs: DataFrame) -> DataFrame:
     """Both directions of each pair."""
     back = pairs.select(F.col("b").alias("source"), F.col("a").alias("target"), "similarity")

@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import paths as P, structure as S
 from tidewright.operators import topics as T
-from tidewright.plans.content import _T, docs
+from tidewright.plans.content import _T
 from tidewright.plans.problems import read
-from tidewright.session import materialize
+from tidewright.session import materialize, spread
 
 LEAST = 0.3
 SITE = ["site"]
 
 
 def pages(spark, sf):
-    sites = read(spark, sf, "documents").select("doc_id", "site")
-    d = docs(spark, sf).select("doc_id", S.topics(F.col("t")).alias("topics")).join(sites, "doc_id")
-    return materialize(d.select(F.col("doc_id").alias("page"), "site", "topics"), "pages")
+    d = spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("page"), "site", S.topics(S.plain_lines(F.col("text"))).alias("topics"))
+    return materialize(d, "pages")
 
 
 def pairs(p, least):
@@ -29,9 +28,8 @@ def jn08_topic_pairs(spark, sf):
 
 
 def flt14_symmetric(spark, sf):
-    """Of all related pairs, as page, other page and similarity, how many are met from either side."""
-    r = T.relationships(pairs(pages(spark, sf), LEAST))
-    return r.groupBy(F.least("source", "target").alias("page"), F.greatest("source", "target").alias("other")).agg(F.count("*").alias("sides"), F.countDistinct("similarity").alias("similarities"))
+    """Of all related pairs, as page and other page, from how many sides they are met and how many similarities are found."""
+    return T.sides(pages(spark, sf), LEAST, SITE)
 
 
 def jn09_orphans(spark, sf):
