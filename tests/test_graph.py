@@ -78,3 +78,17 @@ def test_pairs_are_met_from_both_sides(spark, least, sparse):
 def test_symmetric_pairs_do_not_move(spark, alike):
     got = of_alike(spark, alike, graph.flt14_symmetric)
     assert sorted(map(tuple, got)) == [(a, b, 2, 1) for a in range(300) for b in range(a + 1, 300)]
+
+
+@LEASTS
+def test_pairs_with_what_they_share(spark, least, sparse):
+    rows = cases()
+    topics = {p: t for p, _, t in rows}
+    got = {(r.a, r.b): (r.billionths / 1e9, r.shared) for r in met(spark, rows, least, "pairs", sparse)}
+    assert got == {(a, b): (s, ",".join(t for t in topics[b] if t in topics[a])) for (a, b), s in similar(rows).items() if a < b and s >= least}
+
+
+def test_topic_pairs_do_not_move(spark, alike):
+    got = of_alike(spark, alike, graph.jn08_topic_pairs)
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(300) for b in range(a + 1, 300)]
+    assert {(r.similarity, r.shared) for r in got} == {(0.8, "alpha,bravo,charlie,delta,echoes,foxtrot,hotel,india")}

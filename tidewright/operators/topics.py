@@ -1,37 +1,26 @@
 """Pages related by their topics: similar pairs, orphans, links, clusters.
 
-Pairs come from an equi-join on topics, never from all pairs. For a similarity of t two topic sets must share one of the rarest
-n - ceil(t n) + 1 topics of either (prefix filter), so the common topics of a page need not be joined, and a length filter drops sets that differ too
-much; what is left is verified exactly.
+Pages meet by blocks (see overlaps): pairs that are only counted, linked or compared never leave the call in which they are found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewright.operators.overlaps import meet
+from tidewright.operators.overlaps import UNIT, meet
 from tidewright.session import materialize
 
 
+def _similarity(name: str = "billionths") -> Column:
+    return (F.col(name) / F.lit(float(UNIT))).alias("similarity")
+
+
 def topic_pairs(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:
     """(a, b, similarity, shared) for a < b with Jaccard similarity of at least `least` > 0. pages: page, topics (distinct). Pages without topics pair with none.
     within: columns, as the site, of pages that are compared with each other only; where one is null a page pairs with none."""
-    within = list(within)
-    p = pages.where(F.size("topics") > 0).select("page", *within, "topics", F.size("topics").alias("n"))
-    words = p.select("page", *within, "n", F.explode("topics").alias("topic"))
-    order = Window.partitionBy("page").orderBy("df", "topic")
-    counted = words.join(words.groupBy(*within, "topic").agg(F.count("*").alias("df")).where("df > 1"), [*within, "topic"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    prefix = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1")
-    x = prefix.select(F.col("page").alias("a"), F.col("n").alias("an"), *within, "topic")
-    y = prefix.select(F.col("page").alias("b"), F.col("n").alias("bn"), *within, "topic")
-    fits = (F.col("a") < F.col("b")) & (F.least("an", "bn") >= F.greatest("an", "bn") * least - 1e-9)
-    candidates = x.join(y, [*within, "topic"]).where(fits).select("a", "b").distinct()
-    both = candidates.join(p.select(F.col("page").alias("a"), F.col("topics").alias("ta")), "a").join(p.select(F.col("page").alias("b"), F.col("topics").alias("tb")), "b")
-    shared = F.array_intersect("tb", "ta")
-    sim = F.size(shared) / (F.size("ta") + F.size("tb") - F.size(shared)).cast("double")
-    return both.select("a", "b", F.round(sim, 9).alias("similarity"), F.array_join(shared, ",").alias("shared")).where(F.col("similarity") >= round(least, 9))
+    return meet(pages, least, within, "pairs").select("a", "b", _similarity(), "shared")
 
 
 def sides(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:

@@ -24,7 +24,7 @@ def pairs(p, least):
 
 
 def jn08_topic_pairs(spark, sf):
-    return pairs(pages(spark, sf), LEAST)
+    return T.topic_pairs(pages(spark, sf), LEAST, SITE)
 
 
 def flt14_symmetric(spark, sf):
