@@ -92,3 +92,27 @@ def test_topic_pairs_do_not_move(spark, alike):
     got = of_alike(spark, alike, graph.jn08_topic_pairs)
     assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(300) for b in range(a + 1, 300)]
     assert {(r.similarity, r.shared) for r in got} == {(0.8, "alpha,bravo,charlie,delta,echoes,foxtrot,hotel,india")}
+
+
+@LEASTS
+def test_groups_keep_links_and_connections(spark, least, sparse):
+    rows = cases()
+    edges = [k for k, s in similar(rows).items() if s >= least]
+    parts = met(spark, rows, least, "groups", sparse)
+    links = Counter()
+    for r in parts:
+        links[r.page] += r.links
+    assert links == Counter(a for a, _ in edges)
+
+    def lowest(pairs):
+        low = {p: p for e in pairs for p in e}
+        while any(low[a] != low[b] for a, b in pairs):
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    assert lowest([(r.page, r.head) for r in parts]) == lowest(edges)
+
+
+def test_links_of_clusters_do_not_move(spark, alike):
+    assert [tuple(r) for r in of_alike(spark, alike, graph.gr01_clusters)] == [(0, 300, 0, "Alpha")]

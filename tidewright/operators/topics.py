@@ -52,7 +52,7 @@ def link_suggestions(pages: DataFrame, pairs: DataFrame, within: Sequence[str] =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the lowest node that can be reached. edges: source, target, both directions.
+    """(node, component): the lowest node that can be reached. edges: source, target, in either direction.
 
     Large-star and small-star by turns: every node's larger neighbours are linked to its lowest neighbour, then its lower ones are, until nothing
     changes. Links only ever move to lower nodes, so paths shorten geometrically; the lowest node of a neighbourhood is a combined minimum, and no
@@ -82,13 +82,13 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(links.select(F.col("source").alias("node"), F.col("target").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def clusters(pages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Connected groups of at least two pages: lowest page, size, the page with most links (first of equals), the most frequent topic (first by name of equals)."""
-    pairs = materialize(pairs.select("a", "b", "similarity"), "pairs")
-    edges = relationships(pairs).select("source", "target")
-    label = components(edges)
-    degree = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("links"))
+def clusters(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:
+    """Connected groups of at least two pages: lowest page, size, the page with most links (first of equals), the most frequent topic (first by name of equals).
+    Of the links among the pages of two blocks only what connects them travels: each page with the lowest one it is connected with there."""
+    met = materialize(meet(pages, least, within, "groups"), "met")
+    label = components(met.select(F.col("page").alias("source"), F.col("head").alias("target")))
+    degree = met.groupBy(F.col("page").alias("node")).agg(F.sum("links").alias("links"))
     groups = label.join(degree, "node").groupBy("component").agg(F.count("*").alias("pages"), F.min_by("node", F.struct(-F.col("links"), "node")).alias("central"))
     words = label.join(pages.select(F.col("page").alias("node"), F.explode("topics").alias("topic")), "node").groupBy("component", "topic").agg(F.count("*").alias("n"))
     name = words.groupBy("component").agg(F.initcap(F.min_by("topic", F.struct(-F.col("n"), "topic"))).alias("name"))
-    return groups.where("pages >= 2").join(name, "component", "left")
+    return groups.join(name, "component", "left")

@@ -43,8 +43,7 @@ def jn10_link_suggestions(spark, sf):
 
 
 def gr01_clusters(spark, sf):
-    p = pages(spark, sf)
-    return T.clusters(p, pairs(p, LEAST))
+    return T.clusters(pages(spark, sf), LEAST, SITE)
 
 
 def gr03_page_nodes(spark, sf):
