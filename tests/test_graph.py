@@ -116,3 +116,13 @@ def test_groups_keep_links_and_connections(spark, least, sparse):
 
 def test_links_of_clusters_do_not_move(spark, alike):
     assert [tuple(r) for r in of_alike(spark, alike, graph.gr01_clusters)] == [(0, 300, 0, "Alpha")]
+
+
+@LEASTS
+def test_linked_pages(spark, least, sparse):
+    rows = cases()
+    assert {r.page for r in met(spark, rows, least, "linked", sparse)} == {a for (a, _), s in similar(rows).items() if s >= least}
+
+
+def test_orphans_are_found_without_pairs(spark, alike):
+    assert sorted(r.page for r in of_alike(spark, alike, graph.jn09_orphans)) == [300, 301]

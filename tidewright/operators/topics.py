@@ -34,14 +34,13 @@ def relationships(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), "similarity").unionByName(back)
 
 
-def orphans(pages: DataFrame, pairs: DataFrame) -> DataFrame:
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("page"))
-    return pages.select("page").join(linked, "page", "left_anti")
+def orphans(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:
+    return pages.select("page").join(meet(pages, least, within, "linked"), "page", "left_anti")
 
 
 def link_suggestions(pages: DataFrame, pairs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """For each orphan the most similar page, the first of equals, with a priority: above 0.5 high, above 0.3 medium, else low. Pages that share no topic get none."""
-    within, lone = list(within), orphans(pages, pairs)
+    within, lone = list(within), pages.select("page").join(pairs.select(F.explode(F.array("a", "b")).alias("page")), "page", "left_anti")
     words = pages.select("page", *within, F.size("topics").alias("n"), F.explode("topics").alias("topic"))
     mine = words.join(lone, "page").select(F.col("page").alias("orphan"), *within, F.col("n").alias("on"), "topic")
     met = mine.join(words, [*within, "topic"]).where("orphan <> page").groupBy("orphan", "on", "page", "n").agg(F.count("*").alias("c"))

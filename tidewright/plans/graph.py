@@ -33,8 +33,7 @@ def flt14_symmetric(spark, sf):
 
 
 def jn09_orphans(spark, sf):
-    p = pages(spark, sf)
-    return T.orphans(p, pairs(p, LEAST))
+    return T.orphans(pages(spark, sf), LEAST, SITE)
 
 
 def jn10_link_suggestions(spark, sf):
