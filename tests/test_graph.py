@@ -126,3 +126,19 @@ def test_linked_pages(spark, least, sparse):
 
 def test_orphans_are_found_without_pairs(spark, alike):
     assert sorted(r.page for r in of_alike(spark, alike, graph.jn09_orphans)) == [300, 301]
+
+
+@LEASTS
+def test_link_suggestions(spark, least, sparse):
+    rows = cases()
+    pages = spark.createDataFrame(rows, "page string, site string, topics array<string>")
+    want = {}
+    for (a, b), s in similar(rows).items():
+        want[a] = min(want.get(a, (0, "")), (-s, b))
+    level = lambda s: "high" if s > 0.5 else "medium" if s > 0.3 else "low"
+    got = topics.link_suggestions(pages, least, ["site"], 16, sparse).collect()
+    assert {tuple(r) for r in got} == {(a, b, -s, level(-s)) for a, (s, b) in want.items() if -s < least}
+
+
+def test_suggestions_are_found_without_pairs(spark, alike):
+    assert [tuple(r) for r in of_alike(spark, alike, graph.jn10_link_suggestions)] == [(300, 0, round(1 / 13, 9), "low")]

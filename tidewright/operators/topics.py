@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewright.operators.overlaps import UNIT, meet
+from tidewright.operators.overlaps import BLOCK, SPARSE, UNIT, meet
 from tidewright.session import materialize
 
 
@@ -28,26 +28,16 @@ def sides(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFra
     return meet(pages, least, within, "sides")
 
 
-def relationships(pairs: DataFrame) -> DataFrame:
-    """Both directions of each pair."""
-    back = pairs.select(F.col("b").alias("source"), F.col("a").alias("target"), "similarity")
-    return pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), "similarity").unionByName(back)
-
-
 def orphans(pages: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:
     return pages.select("page").join(meet(pages, least, within, "linked"), "page", "left_anti")
 
 
-def link_suggestions(pages: DataFrame, pairs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+def link_suggestions(pages: DataFrame, least: float, within: Sequence[str] = (), block: int = BLOCK, sparse: int = SPARSE) -> DataFrame:
     """For each orphan the most similar page, the first of equals, with a priority: above 0.5 high, above 0.3 medium, else low. Pages that share no topic get none."""
-    within, lone = list(within), pages.select("page").join(pairs.select(F.explode(F.array("a", "b")).alias("page")), "page", "left_anti")
-    words = pages.select("page", *within, F.size("topics").alias("n"), F.explode("topics").alias("topic"))
-    mine = words.join(lone, "page").select(F.col("page").alias("orphan"), *within, F.col("n").alias("on"), "topic")
-    met = mine.join(words, [*within, "topic"]).where("orphan <> page").groupBy("orphan", "on", "page", "n").agg(F.count("*").alias("c"))
-    sim = F.round(F.col("c") / (F.col("on") + F.col("n") - F.col("c")).cast("double"), 9)
-    best = met.withColumn("similarity", sim).groupBy("orphan").agg(F.min_by(F.struct("page", "similarity"), F.struct(-F.col("similarity"), "page")).alias("m"))
-    level = F.when(F.col("m.similarity") > 0.5, "high").when(F.col("m.similarity") > 0.3, "medium").otherwise("low")
-    return best.select(F.col("orphan").alias("page"), F.col("m.page").alias("link_to"), F.col("m.similarity").alias("similarity"), level.alias("priority"))
+    best = meet(pages, least, within, "best", block, sparse).groupBy("page").agg(F.min_by(F.struct("other", "billionths"), F.struct(-F.col("billionths"), "other")).alias("m"))
+    lone = best.select("page", F.col("m.other").alias("link_to"), _similarity("m.billionths")).where(F.col("similarity") < round(least, 9))
+    level = F.when(F.col("similarity") > 0.5, "high").when(F.col("similarity") > 0.3, "medium").otherwise("low")
+    return lone.withColumn("priority", level)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -19,10 +19,6 @@ def pages(spark, sf):
     return materialize(d, "pages")
 
 
-def pairs(p, least):
-    return T.topic_pairs(p, least, SITE)
-
-
 def jn08_topic_pairs(spark, sf):
     return T.topic_pairs(pages(spark, sf), LEAST, SITE)
 
@@ -37,8 +33,7 @@ def jn09_orphans(spark, sf):
 
 
 def jn10_link_suggestions(spark, sf):
-    p = pages(spark, sf)
-    return T.link_suggestions(p, pairs(p, LEAST), SITE)
+    return T.link_suggestions(pages(spark, sf), LEAST, SITE)
 
 
 def gr01_clusters(spark, sf):
